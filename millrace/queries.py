@@ -1,0 +1,6 @@
+"""All registered queries of the engine's own operators, with SQL for each."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
