@@ -38,7 +38,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter(F.char_length("_key") >= min_chars)
         .select("_d", "_t", "_pos", F.unhex(F.md5(F.col("_key").cast("binary"))).alias("_h"))
     )
-    shared = lines.groupBy("_h").agg(F.count_distinct("_d").alias("_n"), F.max("_d").alias("_last")).filter(F.col("_n") >= min_docs).select("_h", "_last")
+    # cut off, so that the join below deals both sides anew and a common line's rows can be split among tasks
+    shared = cut(lines.groupBy("_h").agg(F.count_distinct("_d").alias("_n"), F.max("_d").alias("_last")).filter(F.col("_n") >= min_docs).select("_h", "_last"))
     drops = (
         lines.join(shared, "_h")
         .filter(~F.col("_d.id").eqNullSafe(F.col("_last.id")))

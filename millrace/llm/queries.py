@@ -14,6 +14,30 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup_vectors import vector_groups
+
+    return vector_groups(common.table(spark, sf_dir, "embeddings"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_groups
+
+    return simhash_groups(common.table(spark, sf_dir, "documents"))
+
+
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .matroska import digests
+
+    return digests(common.table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -30,7 +54,7 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op7_line_dedup, op9_pack_sequences)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_vector_groups, op3_quality, op4_simhash, op6_matroska, op7_line_dedup, op9_pack_sequences)}
 
 SQL = {
     "op7_line_dedup": r"""
