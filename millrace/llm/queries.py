@@ -32,6 +32,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(common.table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .windows import suffix_dedup
+
+    return suffix_dedup(common.table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .matroska import digests
 
@@ -46,6 +52,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .windows import substring_dedup
+
+    return substring_dedup(common.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,7 +66,7 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_vector_groups, op3_quality, op4_simhash, op6_matroska, op7_line_dedup, op9_pack_sequences)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_vector_groups, op3_quality, op4_simhash, op5_suffix_dedup, op6_matroska, op7_line_dedup, op8_substring_dedup, op9_pack_sequences)}
 
 SQL = {
     "op7_line_dedup": r"""
