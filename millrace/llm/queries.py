@@ -66,7 +66,16 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_vector_groups, op3_quality, op4_simhash, op5_suffix_dedup, op6_matroska, op7_line_dedup, op8_substring_dedup, op9_pack_sequences)}
+URL_RULES = ("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import filter_urls, parse_rules
+
+    return filter_urls(common.table(spark, sf_dir, "pages").select("page_id", "url"), parse_rules(*URL_RULES)).drop("bad_share")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_vector_groups, op3_quality, op4_simhash, op5_suffix_dedup, op6_matroska, op7_line_dedup, op8_substring_dedup, op9_pack_sequences, op10_url_filters)}
 
 SQL = {
     "op7_line_dedup": r"""
