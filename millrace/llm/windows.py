@@ -167,28 +167,34 @@ class Rows:
     length: np.ndarray
     data: bytes
 
-    KINDS = ("<i8", "<i8", "<i8", "<u4", "<u4", "<u4")
-
     def pack(self, settled: np.ndarray) -> bytes:
-        cols = [np.ascontiguousarray(c, k).tobytes() for c, k in zip((self.id, self.text, self.first, self.windows, self.anchor, self.length), self.KINDS, strict=True)]
-        raw = struct.pack("<QQ", len(self.id), len(settled)) + b"".join(cols) + np.ascontiguousarray(settled, "<i8").tobytes() + self.data
-        return zstandard.compress(raw, 3)
+        """All rows as one compressed string: documents once, then each column by its bytes' places."""
+        new = np.ones(len(self.id), bool)
+        new[1:] = (self.id[1:] != self.id[:-1]) | (self.text[1:] != self.text[:-1])
+        cols = (self.id[new], self.text[new], new, np.diff(self.first, prepend=0), self.windows, self.anchor, self.length, *settled.T)
+        head = struct.pack("<QQQ", int(new.sum()), len(self.id), len(settled))
+        body = [planes(x.astype("<i8")) for x in cols]
+        return zstandard.compress(head + b"".join(body) + self.data, 3)
 
     @classmethod
     def unpack(cls, blobs: list[bytes], glue: bytes) -> tuple[Rows, np.ndarray]:
-        cols: list[list[np.ndarray]] = [[] for _ in cls.KINDS]
+        cols: list[list[np.ndarray]] = [[] for _ in range(6)]
         data, settled = [], []
         for blob in blobs:
             raw = zstandard.decompress(blob)
-            n, k = struct.unpack_from("<QQ", raw)
-            at = 16
-            for c, kind in zip(cols, cls.KINDS, strict=True):
-                c.append(np.frombuffer(raw, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-            settled.append(np.frombuffer(raw, "<i8", 4 * k, at).reshape(-1, 4))
+            d, n, k = struct.unpack_from("<QQQ", raw)
+            at, parts = 24, []
+            for size in (d, d, n, n, n, n, n, k, k, k, k):
+                parts.append(unplanes(raw, size, at, "<i8"))
+                at += 8 * size
+            ids, texts, own, first, *rest = parts
+            own = np.cumsum(own) - 1
+            for c, x in zip(cols, (ids[own], texts[own], np.cumsum(first), *rest[:3]), strict=True):
+                c.append(x)
+            settled.append(np.column_stack(rest[3:]))
             if n:
-                data.append(raw[at + 32 * k :])
-        return cls(*[np.concatenate(c).astype(np.int64) for c in cols], glue.join(data)), np.concatenate(settled)
+                data.append(raw[at:])
+        return cls(*map(np.concatenate, cols), glue.join(data)), np.concatenate(settled)
 
 
 class Cutter:
@@ -322,7 +328,7 @@ class Cutter:
 
 def planes(x: np.ndarray) -> bytes:
     """Numbers with their first bytes together, then their second bytes, and so on: zeros then cost nothing."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def unplanes(raw: bytes, n: int, at: int, kind: str) -> np.ndarray:
@@ -347,12 +353,13 @@ def unpack_places(blob: bytes) -> tuple[np.ndarray, ...]:
     return ids[own], texts[own], place, short, sure.astype(bool)
 
 
-def by_document(ids: np.ndarray, texts: np.ndarray, *values: np.ndarray) -> pa.RecordBatch | None:
-    """One row for each (id, text hash), with each of the values as one binary of 64-bit numbers."""
+def by_document(part: np.ndarray, ids: np.ndarray, texts: np.ndarray, *values: np.ndarray) -> pa.RecordBatch | None:
+    """One row for each (part, id, text hash), with each of the values as one binary of 64-bit numbers."""
     if not len(ids):
         return None
-    order = np.lexsort((texts, ids))
-    heads = np.flatnonzero(np.append(True, (ids[order][1:] != ids[order][:-1]) | (texts[order][1:] != texts[order][:-1])))
+    order = np.lexsort((texts, ids, part))
+    keys = np.column_stack([part, ids, texts])[order]
+    heads = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
     offsets = pa.py_buffer((np.append(heads, len(order)) * 8).astype("<i4"))
     arrays = [pa.Array.from_buffers(pa.binary(), len(heads), [None, offsets, pa.py_buffer(np.ascontiguousarray(v[order], "<i8"))]) for v in values]
     return pa.RecordBatch.from_arrays([pa.array(ids[order][heads]), pa.array(texts[order][heads]), *arrays], names=["_id", "_t", *"abc"[: len(values)]])
@@ -366,7 +373,7 @@ def shared_places(blobs: list[bytes]) -> pa.RecordBatch | None:
     low, high = np.minimum.reduceat(ids[order], heads), np.maximum.reduceat(ids[order], heads)
     keep = sure.copy()
     keep[order[np.repeat(low != high, np.diff(np.append(heads, len(order))))]] = True
-    return by_document(ids[keep], texts[keep], at[keep])
+    return by_document(np.zeros(int(keep.sum()), np.int64), ids[keep], texts[keep], at[keep])
 
 
 def leading(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -511,9 +518,10 @@ def repeated_ranges(docs: DataFrame, words: bool, n: int, m: int, ranged: bool)
         found, size = [], 0
         for held in bucketwise(batches):
             rows, settled = Rows.unpack(held, b"\n" if words else b"")
-            found += [settled, later_windows(rows, plan)]
-            size += len(found[-1]) + len(settled)
-            if size > 1 << 18:
+            new = np.concatenate([settled, later_windows(rows, plan)])
+            found.append(np.column_stack([np.full(len(new), len(found)), new]))
+            size += len(new)
+            if size > 1 << 17:
                 yield by_document(*np.concatenate(found).T)
                 found, size = [], 0
         if size:
@@ -545,7 +553,10 @@ def covered(length: int, starts: list[bytes] | None, ends: list[bytes] | None) -
 def with_repeats(docs: DataFrame, id_col: str, text_col: str, words: bool, n: int, m: int, ranged: bool, finish, schema: str) -> DataFrame:
     """Maps (id, whole text as UTF-8, covered tokens) of every row by ``finish`` to the columns of ``schema`` after the id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(text).alias("_t"), text.alias("_text"), F.octet_length(text).cast("long").alias("_bytes"))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    # texts' hashes tell rows of one id apart; they cost 8 bytes with each place, so they are 0 where every id has one row
+    repeated = not docs.groupBy(key.alias("_id")).count().filter("count > 1").isEmpty()
+    base = docs.select(key.alias("_id"), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("_t"), text.alias("_text"), F.octet_length(text).cast("long").alias("_bytes"))
     ranges = repeated_ranges(base, words, n, m, ranged)
     names = [f.split()[0] for f in schema.split(", ")]
     kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
