@@ -1,7 +1,8 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad text, and a calibrated size difference.
 
-A text is compressed in blocks against both dictionaries. The difference of the two sizes over the larger one, and
-how far the text can be compressed at all, go through a logistic calibration to a score. Dictionaries and
+A text is compressed in blocks against both dictionaries. The difference of the two sizes over the larger one, over the
+whole text and in its worst quarter of blocks, and how far the text can be compressed at all, go through a logistic
+calibration to a score. Dictionaries and
 calibration are fitted on a bounded sample of labelled rows; every text is scored as a whole.
 """
 
@@ -18,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows of each class that a model sees at most: the first ones by a hash of the id. Two thirds make the dictionaries, one third the calibration.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Longer texts (in bytes) aren't drawn into that sample.
 SAMPLE_TEXT = 32768
-DICTIONARY, BLOCK, LEVEL = 32768, 1024, 3
+DICTIONARY, BLOCK, LEVEL = 65536, 512, 3
+#: Bytes of a compressed block that its text doesn't change.
+FRAME = 8
 
 
 @dataclass(frozen=True)
@@ -32,11 +35,13 @@ class Model:
 
     def scorer(self):
         """A function from texts to scores."""
-        sizes, weights = _sizer(self.good, self.bad), np.array(self.weights)
-        return lambda texts: 1 / (1 + np.exp(-np.clip(_features(np.array([sizes(t) for t in texts]).reshape(-1, 3)) @ weights, -30, 30)))
+        weights = np.array(self.weights)
+        measures = _measurer(self.good, self.bad) if self.good else lambda text: (0.0, 0.0, 0.0)
+        return lambda texts: 1 / (1 + np.exp(-np.clip(_features(np.array([measures(t) for t in texts]).reshape(-1, 3)) @ weights, -30, 30)))
 
 
-def _sizer(good: bytes, bad: bytes):
+def _measurer(good: bytes, bad: bytes):
+    """A function from a text to its three measures: both dictionaries' difference over all blocks and in the worst quarter of them, and the log ratio of compression."""
     made = []
     for data in (good, bad):
         d = zstandard.ZstdCompressionDict(data)
@@ -44,31 +49,35 @@ def _sizer(good: bytes, bad: bytes):
         made.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
     by_good, by_bad = made
 
-    def sizes(text: bytes) -> tuple[int, int, int]:
-        g = b = 0
+    def measures(text: bytes) -> tuple[float, float, float]:
+        g, b = [], []
         for at in range(0, len(text), BLOCK):
-            part = text[at : at + BLOCK]
-            g += len(by_good(part))
-            b += len(by_bad(part))
-        return g, b, len(text)
+            # a short last block is made up with what stands before it
+            part = text[at : at + BLOCK] if at == 0 or len(text) - at >= BLOCK // 4 else text[-BLOCK:]
+            g.append(max(1, len(by_good(part)) - FRAME))
+            b.append(max(1, len(by_bad(part)) - FRAME))
+        if not g:
+            return 0.0, 0.0, 0.0
+        every = sorted((y - x) / max(x, y) for x, y in zip(g, b, strict=True))
+        worst = every[: max(1, len(every) // 4)]
+        sg, sb = sum(g), sum(b)
+        return (sb - sg) / max(sg, sb), sum(worst) / len(worst), float(np.log(min(2.0, max(1e-3, min(sg, sb) / len(text)))))
 
-    return sizes
+    return measures
 
 
-def _features(sizes: np.ndarray) -> np.ndarray:
-    good, bad, n = sizes.T.astype(float)
-    difference = (bad - good) / np.maximum(np.maximum(good, bad), 1)
-    ratio = np.log(np.clip(np.minimum(good, bad) / np.maximum(n, 1), 1e-3, 2))
-    return np.column_stack([np.ones(len(n)), difference, np.minimum(difference, 0), ratio, ratio**2])
+def _features(measures: np.ndarray) -> np.ndarray:
+    difference, worst, ratio = measures.T
+    return np.column_stack([np.ones(len(ratio)), difference, np.minimum(difference, 0), ratio, ratio**2, worst, np.minimum(worst, 0)])
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton's method."""
-    w = np.zeros(x.shape[1])
-    for _ in range(60):
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
+    """Weighted ridge logistic regression by Newton's method."""
+    w, total = np.zeros(x.shape[1]), weight.sum()
+    for _ in range(80):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x / len(x) + 1e-3 * np.eye(len(w))
-        w = w - np.linalg.solve(h, x.T @ (p - y) / len(x) + 1e-3 * w)
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x / total + ridge * np.eye(len(w))
+        w = w - np.linalg.solve(h, x.T @ (weight * (p - y)) / total + ridge * w)
     return w
 
 
@@ -77,18 +86,23 @@ def fold(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learns from labelled rows whose crc32(id as text) mod 5 isn't 0, at most ``sample`` of each class.
+    """Learns from labelled rows whose crc32(id as text) mod 5 isn't 0, at most the first ``sample`` of each class by a hash of the id.
 
     Rows without text, label or id don't count. With under ten rows of a class the model scores by the share of
     label 1 (0.5 without labels).
     """
+    spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y in (0, 1)").dropDuplicates(["_id"])
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter((fold("_id") != 0) & F.octet_length("_text").between(1, SAMPLE_TEXT))
-    rows = rows.join(known, "_id").withColumn("_h", F.xxhash64(F.lit("sample"), "_id"))
-    drawn = {y: [(r[0], r[1].encode()) for r in rows.filter(F.col("_y") == y).orderBy("_h", "_id", "_text").limit(sample).select("_id", "_text").collect()] for y in (0, 1)}
+    # ids are drawn from the labels alone, so that no text moves but the sample's: at most 2 * sample rows are broadcast
+    order = known.filter(fold("_id") != 0).withColumn("_h", F.xxhash64(F.lit("sample"), "_id"))
+    ids = [r for y in (0, 1) for r in order.filter(F.col("_y") == y).orderBy("_h", "_id").limit(sample).select("_id", "_y", "_h").collect()]
+    chosen = spark.createDataFrame(ids, order.select("_id", "_y", "_h").schema)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.octet_length("_text").between(1, SAMPLE_TEXT))
+    rows = sorted((r["_h"], r["_text"].encode(), r["_y"]) for r in texts.join(F.broadcast(chosen), "_id").collect())
+    drawn = {y: [(h, t) for h, t, of in rows if of == y] for y in (0, 1)}
     if min(map(len, drawn.values())) < 10:
         share = (len(drawn[1]) + 1) / (len(drawn[0]) + len(drawn[1]) + 2)
-        return Model(b"", b"", (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0, 0.0))
+        return Model(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * 6))
     made = {}
     for y, texts in drawn.items():
         some = [t for i, (_, t) in enumerate(texts) if i % 3]
@@ -96,14 +110,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             made[y] = zstandard.train_dictionary(DICTIONARY, some).as_bytes()
         except zstandard.ZstdError:  # too little text to choose from: all of it serves
             made[y] = b"".join(some)[-DICTIONARY:]
-    sizes = _sizer(made[1], made[0])
+    measures = _measurer(made[1], made[0])
     rest = [(t, y) for y, texts in drawn.items() for i, (_, t) in enumerate(texts) if not i % 3]
-    shares = known.groupBy("_y").count().collect()
-    total = {r[0]: r[1] for r in shares}
-    x, y = _features(np.array([sizes(t) for t, _ in rest])), np.array([v for _, v in rest])
-    w = _calibrate(x, y)
-    # the sample holds as many rows of either class as it can: move the intercept to the classes' true shares
-    w[0] += np.log(total[1] / total[0]) - np.log((y == 1).sum() / (y == 0).sum())
+    total = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
+    x, y = _features(np.array([measures(t) for t, _ in rest])), np.array([v for _, v in rest])
+    # the sample holds as many rows of either class as it can: weights give the classes their true shares
+    w = _calibrate(x, y, np.where(y == 1, total[1] / (y == 1).sum(), total[0] / (y == 0).sum()))
     return Model(made[1], made[0], tuple(map(float, w)))
 
 
