@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ALL = Window.partitionBy()
+def whole() -> WindowSpec:
+    return Window.partitionBy()
 
 
 def average_rank(value: Column, *keys: str) -> Column:
@@ -15,7 +16,7 @@ def average_rank(value: Column, *keys: str) -> Column:
 
 def min_max(value: Column, invert: bool = False, flat: float = 0.5) -> Column:
     """The value's place between the column's extremes; ``flat`` where they are one."""
-    low, high = F.min(value).over(ALL), F.max(value).over(ALL)
+    low, high = F.min(value).over(whole()), F.max(value).over(whole())
     x = F.when(high == low, F.lit(flat)).otherwise(F.try_divide(value - low, high - low))
     return F.when(high == low, F.lit(flat)).otherwise(1 - x) if invert else x
 
@@ -27,11 +28,11 @@ def first_max(df: DataFrame, value: Column, *ties) -> DataFrame:
 
 def gated(df: DataFrame, gate: Column) -> DataFrame:
     """Rows that pass the gate, or all if none does."""
-    any_ = F.max(gate.cast("int")).over(ALL) == 1
+    any_ = F.max(gate.cast("int")).over(whole()) == 1
     return df.withColumn("_any", any_).filter(gate | ~F.col("_any")).drop("_any")
 
 
 def gate_then_tiebreak(df: DataFrame, gate: Column, main: str, within: float, tie: str, key: str) -> DataFrame:
     """Among rows that pass the gate (all if none), those within ``within`` of the best main value; of these the largest tie value, else main value."""
-    near = gated(df, gate).withColumn("_best", F.max(main).over(ALL)).filter(F.col(main) >= F.col("_best") - within).drop("_best")
+    near = gated(df, gate).withColumn("_best", F.max(main).over(whole())).filter(F.col(main) >= F.col("_best") - within).drop("_best")
     return near.orderBy(F.desc_nulls_last(tie), F.desc(main), key).limit(1)
