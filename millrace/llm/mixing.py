@@ -25,13 +25,29 @@ SALTS = 256
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, goal: int, window: int = WINDOW) -> np.ndarray:
-    """How many documents of each length to take so that their sum comes as near below ``goal`` as can be found."""
+    """How many documents of each length to take so that their sum comes as near below ``goal`` as can be found.
+
+    First a proportional part of every length is taken for good; only if the rest can't make up the goal, half of that, then none.
+    """
     order = np.argsort(-lengths, kind="stable")
     size, have = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     total = int((size * have).sum())
     if goal >= total:
         return counts.astype(np.int64)
-    take = np.floor(have * (goal / total) * (1 - 1e-12)).astype(np.int64) if total else have * 0
+    best = have * 0
+    for part in (1 - 1e-12, 0.5, 0.0):
+        take = _fill(size, have, goal, np.floor(have * (goal / total) * part).astype(np.int64), window)
+        if (size * take).sum() > (size * best).sum():
+            best = take
+        if (size * best).sum() == goal:
+            break
+    out = np.empty_like(best)
+    out[order] = best
+    return out
+
+
+def _fill(size: np.ndarray, have: np.ndarray, goal: int, take: np.ndarray, window: int) -> np.ndarray:
+    """Adds to ``take``: the longest that fit while more than the window is left, then the best sum by a bounded knapsack."""
     left = goal - int((size * take).sum())
     for i in range(len(size)):
         if left <= window:
@@ -64,9 +80,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, goal: int, window: int = WINDOW
         i, part = items[first[at]]
         take[i] += part
         at -= part * int(size[i])
-    out = np.empty_like(take)
-    out[order] = take
-    return out
+    return take
 
 
 def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
