@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, local_roots, map_runs, with_parts
+from .components import PART, components, local_roots, map_runs, with_parts
 
 BITS = 64
 LANES = np.uint64(0x0101010101010101)
@@ -74,7 +74,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, distance: int = 4, blocks: int = 6) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 4, blocks: int = 6, part: int = PART) -> DataFrame:
     """Edges (a, b) of a spanning forest of each run of different fingerprints ``fp`` at most ``distance`` bits apart."""
     keyed = nodes.select("fp").withColumn("_k", F.explode(F.array(*_keys(distance, blocks)))).select("fp", F.col("_k._c").alias("_c"), F.col("_k._bits").alias("_bits"))
 
@@ -106,7 +106,7 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int = 6) -> DataFrame:
         a, b = spanning()
         return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
 
-    return map_runs(with_parts(keyed, ["_c", "_bits"], "fp"), ["_c", "_bits", "_i", "_j"], ["_side"], use, "a long, b long")
+    return map_runs(with_parts(keyed, ["_c", "_bits"], "fp", part), ["_c", "_bits", "_i", "_j"], ["_side"], use, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:

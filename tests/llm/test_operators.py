@@ -89,7 +89,8 @@ def test_fit_is_as_near_as_any_sum(goal):
 # 2 vectors
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize("part", [2048, 3])
+def test_vectors(spark, part):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(25, 16))
     vectors = [(centres[i % 25] + rng.normal(size=16) * (0.02 if i % 3 else 0.2)).astype("f4").tolist() for i in range(300)]
@@ -97,7 +98,7 @@ def test_vectors(spark):
     rows += [(300 + i, vectors[0], 0) for i in range(40)]
     rows += [(400, None, 1), (401, [0.0] * 16, 1), (402, [float("nan")] * 16, 1), (403, [None] * 16, 1), (404, vectors[0], None), (405, [1.0, 2.0], 1), (406, [1.0, 2.0], 1), (407, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit("x")).withColumn("n", F.lit(1))
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neardup_vectors.vector_groups(df).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neardup_vectors.vector_groups(df, part=part).collect()}
     assert len(got) == len(rows)
     ok = [(i, np.array(v, float), y) for i, v, y in rows if v and y is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = defaultdict(set)
@@ -191,13 +192,14 @@ def test_simhash(docs, rows, no_docs):
     assert simhash.simhash_groups(no_docs).count() == 0
 
 
-def test_every_close_pair_is_linked(spark):
+@pytest.mark.parametrize("part", [2048, 2])
+def test_every_close_pair_is_linked(spark, part):
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(0, 1 << 63, 20)]
     codes = sorted({(b ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 6), replace=False))) & ((1 << 64) - 1) for b in base for _ in range(8)})
     signed = [simhash._signed(c) for c in codes]
     df = spark.createDataFrame([(c,) for c in signed], "fp long")
-    got = {r["node"]: r["label"] for r in C.components(simhash.links(df)).collect()}
+    got = {r["node"]: r["label"] for r in C.components(simhash.links(df, part=part)).collect()}
     edges = [(simhash._signed(a), simhash._signed(b)) for a, b in itertools.combinations(codes, 2) if (a ^ b).bit_count() <= 4]
     want = components_of(signed, edges)
     assert {c: got.get(c, c) for c in signed} == want
