@@ -6,7 +6,8 @@ another document may have too; no window of the others can repeat. Then consecut
 travel together, as one packed string, to the bucket that the anchor names. Equal strings of one batch are settled
 where they are read, and only the one of the smallest id travels. The bucket leaves out anchors of a single document,
 sorts the windows that remain by multikey quicksort, and gives back the token ranges that go. All rows that move are
-compressed blobs, one for each batch and bucket; both joins with the texts share one exchange.
+compressed blobs: one for each batch and bucket on the way out, one for each bucket and group of documents on the way
+back. A group has about a batch of text, and both times its documents come by the same exchange.
 
 Splitters and frequent anchors are found in a bounded sample; they only deal out work and never change results.
 """
@@ -42,6 +43,7 @@ class Plan:
     m: int
     buckets: int = 1
     wide: int = 1
+    groups: int = 1
     splitters: tuple[int, ...] | None = None
     frequent: tuple[int, ...] = ()
 
@@ -353,19 +355,42 @@ def unpack_places(blob: bytes) -> tuple[np.ndarray, ...]:
     return ids[own], texts[own], place, short, sure.astype(bool)
 
 
-def by_document(part: np.ndarray, ids: np.ndarray, texts: np.ndarray, *values: np.ndarray) -> pa.RecordBatch | None:
-    """One row for each (part, id, text hash), with each of the values as one binary of 64-bit numbers."""
+def by_group(groups: int, ids: np.ndarray, texts: np.ndarray, first: np.ndarray, *more: np.ndarray) -> pa.RecordBatch | None:
+    """One row for each group of documents, with what is told of them as one compressed string."""
     if not len(ids):
         return None
-    order = np.lexsort((texts, ids, part))
-    keys = np.column_stack([part, ids, texts])[order]
-    heads = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
-    offsets = pa.py_buffer((np.append(heads, len(order)) * 8).astype("<i4"))
-    arrays = [pa.Array.from_buffers(pa.binary(), len(heads), [None, offsets, pa.py_buffer(np.ascontiguousarray(v[order], "<i8"))]) for v in values]
-    return pa.RecordBatch.from_arrays([pa.array(ids[order][heads]), pa.array(texts[order][heads]), *arrays], names=["_id", "_t", *"abc"[: len(values)]])
-
-
-def shared_places(blobs: list[bytes]) -> pa.RecordBatch | None:
+    group = ids % groups
+    order = np.lexsort((first, texts, ids, group))
+    group, ids, texts, first = group[order], ids[order], texts[order], first[order]
+    more = tuple(m[order] for m in more)
+    new = np.append(True, (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]))
+    edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)).tolist()
+    blobs = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        heads = np.flatnonzero(new[a:b]) + a
+        cols = (ids[heads], texts[heads], new[a:b], np.diff(first[a:b], prepend=0), *(m[a:b] for m in more))
+        blobs.append(zstandard.compress(struct.pack("<QQ", len(heads), b - a) + b"".join(planes(c.astype("<i8")) for c in cols), 1))
+    return pa.RecordBatch.from_arrays([pa.array(group[edges[:-1]], pa.int64()), pa.array(blobs, pa.binary())], names=["_b", "told"])
+
+
+def told(blobs: list[bytes], values: int) -> dict[tuple[int, int], list[np.ndarray]]:
+    """What by_group() packed, for each (id, text hash)."""
+    parts: dict[tuple[int, int], list[tuple]] = {}
+    for blob in blobs:
+        raw = zstandard.decompress(blob)
+        d, n = struct.unpack_from("<QQ", raw)
+        at, cols = 16, []
+        for size in (d, d, *[n] * (2 + values)):
+            cols.append(unplanes(raw, size, at, "<i8"))
+            at += 8 * size
+        ids, texts, new, first, *more = cols
+        first, edges = np.cumsum(first), np.append(np.flatnonzero(new), n).tolist()
+        for i, t, a, b in zip(ids.tolist(), texts.tolist(), edges[:-1], edges[1:], strict=True):
+            parts.setdefault((i, t), []).append((first[a:b], *(m[a:b] for m in more)))
+    return {k: [np.concatenate(c) for c in zip(*v, strict=True)] for k, v in parts.items()}
+
+
+def shared_places(blobs: list[bytes], groups: int) -> pa.RecordBatch | None:
     """The places of a wide bucket's anchors that two ids have, or that are sure."""
     ids, texts, at, short, sure = (np.concatenate(c) for c in zip(*map(unpack_places, blobs), strict=True))
     order = np.argsort(short, kind="stable")
@@ -373,7 +398,7 @@ def shared_places(blobs: list[bytes]) -> pa.RecordBatch | None:
     low, high = np.minimum.reduceat(ids[order], heads), np.maximum.reduceat(ids[order], heads)
     keep = sure.copy()
     keep[order[np.repeat(low != high, np.diff(np.append(heads, len(order))))]] = True
-    return by_document(np.zeros(int(keep.sum()), np.int64), ids[keep], texts[keep], at[keep])
+    return by_group(groups, ids[keep], texts[keep], at[keep])
 
 
 def leading(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -462,23 +487,45 @@ def plan_for(docs: DataFrame, words: bool, n: int, m: int, ranged: bool) -> Plan
     values, counts = np.unique(hashes, return_counts=True)
     frequent = values[counts > max(64, 2 * len(hashes) // buckets)]
     splitters = tuple(leads[np.arange(1, buckets) * len(leads) // buckets].tolist()) if ranged and len(leads) else None
-    return Plan(words, n, m, int(buckets), max(1, -(-n_bytes // ANCHORS)), splitters, tuple(frequent.tolist()))
+    return Plan(words, n, m, int(buckets), max(1, -(-n_bytes // ANCHORS)), prime(max(1, -(-n_bytes // BATCH))), splitters, tuple(frequent.tolist()))
+
+
+def prime(n: int) -> int:
+    """The first prime from n on: ids in steps of any size then fall evenly into so many groups."""
+    n = max(2, n)
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
 
-def repeated_ranges(docs: DataFrame, words: bool, n: int, m: int, ranged: bool) -> DataFrame:
-    """(_id, _t, starts, ends) for documents that lose windows, in arrays of binaries; docs: _id (long), _t (long), _text, _bytes."""
-    plan = plan_for(docs, words, n, m, ranged)
+def with_repeats(docs: DataFrame, id_col: str, text_col: str, words: bool, n: int, m: int, ranged: bool, finish, schema: str) -> DataFrame:
+    """Maps (whole text as UTF-8, covered ranges' starts and sizes) of every row by ``finish`` to the columns of ``schema``, after the id."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    # texts' hashes tell rows of one id apart; they cost 8 bytes with each place, so they are 0 where every id has one row
+    repeated = not docs.groupBy(key.alias("_id")).count().filter("count > 1").isEmpty()
+    base = docs.select(key.alias("_id"), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("_t"), text.alias("_text"), F.octet_length(text).cast("long").alias("_bytes"))
+    plan = plan_for(base, words, n, m, ranged)
+    glue = b"\n" if words else b""
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    blob_kind, told_kind = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())]), "_b long, told binary"
+    out_kind = pa.schema([("_id", pa.int64()), *[(x, kinds[k]) for x, k in (f.split() for f in schema.split(", "))]])
+
+    def rows_of(table) -> Iterator[tuple[int, int, bytes]]:
+        for k, t, x in zip(table.column("_id").to_pylist(), table.column("_t").to_pylist(), table.column("_text"), strict=True):
+            yield k, t, x.as_py().encode()
 
     def batched(rows, use) -> Iterator[pa.RecordBatch]:
-        """Feeds batches of segments, with what is known of each, to ``use``."""
+        """Feeds segments of about a batch, with what is known of each, to ``use``, which gives buckets and blobs."""
         cutter, waiting, known, size = Cutter(plan), [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
             if found := list(use(cutter, waiting, known)):
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], schema=blob_kind)
 
-        for key, text_hash, text, some in rows:
-            for segment in cutter.segments(key, text_hash, text):
+        for k, t, x, some in rows:
+            for segment in cutter.segments(k, t, x):
                 if len(segment[3]) < n:
                     continue
                 waiting.append(segment)
@@ -491,12 +538,7 @@ def repeated_ranges(docs: DataFrame, words: bool, n: int, m: int, ranged: bool)
             yield from out()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((k, t, x.as_py().encode(), None) for b in batches for k, t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True))
-        return batched(rows, lambda cutter, waiting, known: cutter.places(waiting))
-
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((k, t, x.as_py().encode(), numbers(a.as_py())) for b in batches for k, t, x, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True))
-        return batched(rows, lambda cutter, waiting, known: cutter.cut(waiting, known))
+        return batched(((*r, None) for b in batches for r in rows_of(b)), lambda cutter, waiting, known: cutter.places(waiting))
 
     def bucketwise(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         held: list[bytes] = []
@@ -512,68 +554,54 @@ def repeated_ranges(docs: DataFrame, words: bool, n: int, m: int, ranged: bool)
             yield held
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return (found for held in bucketwise(batches) if (found := shared_places(held)) is not None)
+        return (found for held in bucketwise(batches) if (found := shared_places(held, plan.groups)) is not None)
+
+    def cut_up(docs: pa.Table, places: pa.Table) -> pa.Table:
+        known = told(places.column("told").to_pylist(), 0)
+        rows = ((k, t, x, np.sort(known[(k, t)][0])) for k, t, x in rows_of(docs) if (k, t) in known)
+        return pa.Table.from_batches(list(batched(rows, lambda cutter, waiting, some: cutter.cut(waiting, some))), blob_kind)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for held in bucketwise(batches):
-            rows, settled = Rows.unpack(held, b"\n" if words else b"")
-            new = np.concatenate([settled, later_windows(rows, plan)])
-            found.append(np.column_stack([np.full(len(new), len(found)), new]))
-            size += len(new)
-            if size > 1 << 17:
-                yield by_document(*np.concatenate(found).T)
+            rows, settled = Rows.unpack(held, glue)
+            found += [settled, later_windows(rows, plan)]
+            size += len(settled) + len(found[-1])
+            if size > 1 << 18:
+                yield ranges(np.concatenate(found))
                 found, size = [], 0
         if size:
-            yield by_document(*np.concatenate(found).T)
+            yield ranges(np.concatenate(found))
 
-    def dealt(blobs: DataFrame, use, schema: str) -> DataFrame:
-        return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(use, schema)
+    def ranges(found: np.ndarray) -> pa.RecordBatch:
+        ids, texts, starts, ends = found.T
+        return by_group(plan.groups, ids, texts, starts, ends - starts)
 
-    places = docs.filter(F.col("_bytes") >= n).select("_id", "_t", "_text").mapInArrow(place, "bucket long, blob binary")
-    shared = dealt(places, share, "_id long, _t long, a binary").groupBy("_id", "_t").agg(F.collect_list("a").alias("a"))
-    known = docs.select("_id", "_t", "_text").join(shared.hint("shuffle_hash"), ["_id", "_t"])
-    found = dealt(known.select("_id", "_t", "_text", "a").mapInArrow(cut_up, "bucket long, blob binary"), judge, "_id long, _t long, a binary, b binary")
-    return found.groupBy("_id", "_t").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
+    def finished(docs: pa.Table, found: pa.Table) -> pa.Table:
+        known = told(found.column("told").to_pylist(), 1)
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows = [(k, *finish(x, *known.get((k, t), none))) for k, t, x in rows_of(docs)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out_kind, strict=True)], schema=out_kind) if rows else out_kind.empty_table()
 
+    def dealt(blobs: DataFrame, use) -> DataFrame:
+        return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(use, told_kind)
 
-def numbers(parts: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(parts or []), "<i8")
+    # both times that documents meet what is told of them they come by one exchange, which is made once
+    grouped = base.select(F.pmod("_id", F.lit(plan.groups)).alias("_b"), "_id", "_t", "_text").groupBy("_b")
+    shared = dealt(base.filter(F.col("_bytes") >= n).select("_id", "_t", "_text").mapInArrow(place, "bucket long, blob binary"), share)
+    found = dealt(grouped.cogroup(shared.groupBy("_b")).applyInArrow(cut_up, "bucket long, blob binary"), judge)
+    out = grouped.cogroup(found.groupBy("_b")).applyInArrow(finished, f"_id long, {schema}")
+    return out.select(F.when(F.col("_id") != -(1 << 63), F.col("_id")).cast(docs.schema[id_col].dataType).alias(id_col), *names)
 
 
-def covered(length: int, starts: list[bytes] | None, ends: list[bytes] | None) -> np.ndarray:
+def covered(length: int, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Which of so many tokens the ranges cover."""
-    if not starts:
+    if not len(starts):
         return np.zeros(length, bool)
-    starts, ends = numbers(starts), numbers(ends)
-    edge = np.bincount(starts, minlength=length + 1) - np.bincount(ends, minlength=length + 1)
+    edge = np.bincount(starts, minlength=length + 1) - np.bincount(starts + sizes, minlength=length + 1)
     return np.cumsum(edge[:length]) > 0
 
 
-def with_repeats(docs: DataFrame, id_col: str, text_col: str, words: bool, n: int, m: int, ranged: bool, finish, schema: str) -> DataFrame:
-    """Maps (id, whole text as UTF-8, covered tokens) of every row by ``finish`` to the columns of ``schema`` after the id."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    # texts' hashes tell rows of one id apart; they cost 8 bytes with each place, so they are 0 where every id has one row
-    repeated = not docs.groupBy(key.alias("_id")).count().filter("count > 1").isEmpty()
-    base = docs.select(key.alias("_id"), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("_t"), text.alias("_text"), F.octet_length(text).cast("long").alias("_bytes"))
-    ranges = repeated_ranges(base, words, n, m, ranged)
-    names = [f.split()[0] for f in schema.split(", ")]
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                rows = [finish(t.as_py().encode(), s.as_py(), e.as_py()) for t, s, e in zip(some.column(1), some.column(2), some.column(3), strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(c, kinds[f.split()[1]]) for c, f in zip(zip(*rows, strict=True), schema.split(", "), strict=True)]], names=["_id", *names])
-
-    joined = base.select("_id", "_t", "_text").join(ranges.hint("shuffle_hash"), ["_id", "_t"], "left").select("_id", "_text", "starts", "ends")
-    out = joined.mapInArrow(run, f"_id long, {schema}")
-    key = F.when(F.col("_id") != -(1 << 63), F.col("_id")).cast(docs.schema[id_col].dataType).alias(id_col)
-    return out.select(key, *names)
-
-
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 16) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): texts without the bytes that a string of ``length`` bytes covers which also starts in a smaller id.
 
@@ -583,8 +611,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     have; repeated rows get equal results. An empty table gives an empty table.
     """
 
-    def finish(text: bytes, starts, ends):
-        gone = covered(len(text), starts, ends)
+    def finish(text: bytes, starts, sizes):
+        gone = covered(len(text), starts, sizes)
         n = int(gone.sum())
         if not n:
             return len(text), 0, 0, text
@@ -601,9 +629,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tables as in suffix_dedup().
     """
 
-    def finish(text: bytes, starts, ends):
+    def finish(text: bytes, starts, sizes):
         parts = text.split()
-        gone = covered(len(parts), starts, ends)
+        gone = covered(len(parts), starts, sizes)
         n = int(gone.sum())
         return len(parts), n, b" ".join(parts if not n else [w for w, g in zip(parts, gone.tolist(), strict=True) if not g]).decode()
 
