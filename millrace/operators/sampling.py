@@ -11,9 +11,21 @@ from .keys import hash_order
 
 
 def ranked(df: DataFrame, key: str, seed: int, *strata: str) -> DataFrame:
-    """Adds ``_k`` from 1 in hash order within each stratum, and the stratum's size ``_n``."""
-    within = Window.partitionBy(*strata)
-    return df.withColumn("_k", F.row_number().over(within.orderBy(hash_order(seed, F.col(key)), key))).withColumn("_n", F.count("*").over(within))
+    """Adds ``_k`` from 1 in hash order within each stratum, and the stratum's size ``_n``.
+
+    Rows are ranked within the hash's first three digits and moved on by what stands before these, so that a stratum
+    which holds most rows is spread over 4096 groups.
+    """
+    h = df.withColumn("_h", hash_order(seed, F.col(key))).withColumn("_p", F.substring("_h", 1, 3))
+    part, whole = Window.partitionBy(*strata, "_p"), Window.partitionBy(*strata)
+    counts = h.groupBy(*strata, "_p").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_p").alias("_q"), before.alias("_before"), F.sum("_c").over(whole).alias("_n"))
+    same = F.col("_p") == F.col("_q")
+    for i, s in enumerate(strata):
+        same &= F.col(s).eqNullSafe(F.col(f"_s{i}"))
+    met = h.withColumn("_r", F.row_number().over(part.orderBy("_h", key))).join(placed, same)
+    return met.withColumn("_k", F.col("_r") + F.col("_before")).select(*df.columns, "_k", "_n")
 
 
 def split_by_position(df: DataFrame, key: str, strata: Sequence[str], train: float, val: float, seed: int = 42) -> DataFrame:

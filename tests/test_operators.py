@@ -1,5 +1,8 @@
 """Edge rows: boundaries, ties, nulls, empty tables; and properties that hold for any rows."""
 
+import hashlib
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from hypothesis import given
@@ -182,3 +185,30 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "labels" / "mode=A").is_dir()
     sinks.quarantine(df.select(F.col("label").alias("category"), F.lit("low").alias("reason_code"), "n"), str(tmp_path / "q"))
     assert (tmp_path / "q" / "reason_code=low" / "category=B").is_dir()
+
+
+def test_ranks_over_strata_with_nulls(spark):
+    from millrace.operators.sampling import ranked
+
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "a", i % 2) for i in range(200)], "k long, s string, t int")
+    got = defaultdict(list)
+    for r in ranked(df, "k", 42, "s", "t").collect():
+        got[(r["s"], r["t"])].append((hashlib.md5(f"42:{r['k']}".encode()).hexdigest(), r["_k"], r["_n"]))
+    for rows in got.values():
+        assert [(k, n) for _, k, n in sorted(rows)] == [(i, len(rows)) for i in range(1, len(rows) + 1)]
+
+
+def test_new_files_are_merged_once(spark, tmp_path):
+    from millrace.streaming.upserts import upsert_new_files
+
+    source, schema = str(tmp_path / "in"), "k long, v string, seq long"
+
+    def run():
+        upsert_new_files(spark, source, schema, str(tmp_path / "out"), str(tmp_path / "state"), ["k"], "seq").awaitTermination()
+        newest = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name.split("=")[1]))
+        return sorted(one(spark.read.parquet(str(newest)).select("k", "v")))
+
+    spark.createDataFrame([(1, "a", 1), (2, "b", 1)], schema).write.parquet(f"{source}", mode="append")
+    assert run() == [(1, "a"), (2, "b")]
+    spark.createDataFrame([(2, "c", 2), (3, "d", 1)], schema).write.parquet(f"{source}", mode="append")
+    assert run() == [(1, "a"), (2, "c"), (3, "d")]
