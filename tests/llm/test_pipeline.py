@@ -43,6 +43,12 @@ def test_stages_bear_edge_rows_and_empty_tables(spark, docs, no_docs, name):
     assert stage(spark, no_docs.select(*five), DATA).count() == 0
 
 
+def test_the_whole(spark):
+    pieces = corpus_pipeline.run(spark, DATA)
+    assert pieces.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert pieces.filter("offset + length > 4096").count() == 0 and pieces.count() > 100
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
