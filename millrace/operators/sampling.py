@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .keys import hash_order
 
 
@@ -28,6 +29,24 @@ def ranked(df: DataFrame, key: str, seed: int, *strata: str) -> DataFrame:
     return met.withColumn("_k", F.col("_r") + F.col("_before")).select(*df.columns, "_k", "_n")
 
 
+def positions(df: DataFrame, key: str, *strata: str) -> DataFrame:
+    """Adds ``_p``, the position from 0 in key order within each stratum, and the stratum's size ``_n``.
+
+    A range sort by stratum and key, cut off at a checkpoint, deals even a stratum that holds most rows over many
+    partitions; positions within a partition's share of a stratum are moved on by the shares before it.
+    """
+    placed = cut(df.orderBy(*strata, key)).withColumn("_part", F.spark_partition_id())
+    counts = placed.groupBy(*strata, "_part").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*strata)
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shares = counts.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_part").alias("_q"), before.alias("_before"), F.sum("_c").over(whole).alias("_n"))
+    same = F.col("_part") == F.col("_q")
+    for i, s in enumerate(strata):
+        same &= F.col(s).eqNullSafe(F.col(f"_s{i}"))
+    within = placed.withColumn("_r", F.row_number().over(Window.partitionBy(*strata, "_part").orderBy(key)) - 1)
+    return within.join(shares, same).withColumn("_p", F.col("_r") + F.col("_before")).select(*df.columns, "_p", "_n")
+
+
 def split_by_position(df: DataFrame, key: str, strata: Sequence[str], train: float, val: float, seed: int = 42) -> DataFrame:
     """Adds ``split``: the first floor(train * n) of each stratum, the next floor(val * n), and the rest as test."""
     n_train, n_val = F.floor(F.lit(train) * F.col("_n")), F.floor(F.lit(val) * F.col("_n"))
@@ -50,9 +69,8 @@ def evenly_spaced(df: DataFrame, key: str, n: Column | int, *strata: str) -> Dat
 
     Position p is one of them if some i has floor(i * size / n) = p, which the least i with i * size / n >= p tells.
     """
-    within = Window.partitionBy(*strata)
     n = F.lit(n) if isinstance(n, int) else n
-    placed = df.withColumn("_p", F.row_number().over(within.orderBy(key)) - 1).withColumn("_n", F.count("*").over(within)).withColumn("_want", n.cast("long"))
+    placed = positions(df, key, *strata).withColumn("_want", n.cast("long"))
     i = F.floor((F.col("_p") * F.col("_want") + F.col("_n") - 1) / F.col("_n"))
     hit = (i < F.col("_want")) & (F.floor(i * F.col("_n") / F.col("_want")) == F.col("_p"))
     return placed.filter((F.col("_want") >= F.col("_n")) | hit).drop("_p", "_n", "_want")

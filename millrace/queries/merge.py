@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.sampling import positions
 from ..operators.setops import ragged_union, upsert
 from ..plans.relations import REPORT, VARIANTS, report, table, variants, with_
 from ..registry import query
@@ -53,8 +54,8 @@ def snk_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, upper(lang) || '_' || source AS named, printf('%s_%06d', lang, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::int) AS numbered FROM documents")
 def snk_copy_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.upper("lang"), F.lit("_"), "source").alias("named"), F.format_string("%s_%06d", "lang", k).alias("numbered"))
+    docs = positions(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id", "lang")
+    return docs.select("doc_id", F.concat(F.upper("lang"), F.lit("_"), "source").alias("named"), F.format_string("%s_%06d", "lang", "_p").alias("numbered"))
 
 
 @query("SELECT n_nationkey, 'THRESHOLD = ' || (n_nationkey * 2)::varchar || chr(10) || 'NAME = ' || n_name AS settings FROM nation")
