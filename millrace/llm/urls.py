@@ -2,8 +2,9 @@
 
 A tree is grown level by level over counts of (host, prefix, segment), so a host that holds a third of all pages is a
 few counted rows. Segments that look variable, and segments of a node with many rare children, become wildcards;
-sibling templates whose labelled shares don't differ significantly are judged together; a template is rejected when
-its smoothed share of labelled bad pages is above a threshold. Pages that a rule judges are the labels.
+sibling templates whose labelled shares don't differ significantly are judged together, at every level; a template
+without labels takes the share of its siblings or of the nearest branch above it; a template is rejected when its
+smoothed share of labelled bad pages is above a threshold. Pages that a rule judges are the labels.
 """
 
 from __future__ import annotations
@@ -95,16 +96,29 @@ def grow(pages: DataFrame, depth: int, children: int, support: int) -> DataFrame
 def judged_templates(counts: DataFrame, prior: float, strength: float, threshold: float, z: float) -> DataFrame:
     """Adds ``_bad_share`` and ``_rejected`` to templates with counts of labelled pages (_good, _bad).
 
-    Siblings are templates of a host that differ in their first segment alone. A template whose share is within ``z``
-    standard errors of its siblings' joint share is judged by that; one without labels is judged by the prior.
+    Siblings are templates of a host that differ in one segment alone, at any level; the deepest level comes first. A
+    template whose share is within ``z`` standard errors of its siblings' joint share is judged by that, one that has no
+    such siblings by its own. One without labels is judged by the joint share of its siblings, else by that of the nearest
+    branch above it with labels, the whole host at last; by the prior if its host has none.
     """
-    total = F.col("_good") + F.col("_bad")
-    family = F.regexp_replace("_template", r"^/[^/]*", "/{first}")
-    joint = counts.filter(total > 0).groupBy("_k", family.alias("_family")).agg(F.sum("_good").alias("_all_good"), F.sum("_bad").alias("_all_bad"))
-    both = counts.withColumn("_family", family).join(joint, ["_k", "_family"], "left")
-    share, pooled = F.col("_bad") / F.greatest(total, F.lit(1)), F.col("_all_bad") / F.greatest(F.col("_all_good") + F.col("_all_bad"), F.lit(1))
-    alike = (total > 0) & (F.abs(share - pooled) <= z * F.sqrt(pooled * (1 - pooled) / F.greatest(total, F.lit(1))))
-    good, bad = F.when(alike, F.col("_all_good")).otherwise(F.col("_good")), F.when(alike, F.col("_all_bad")).otherwise(F.col("_bad"))
+    total, all_total = F.col("_good") + F.col("_bad"), F.col("_all_good") + F.col("_all_bad")
+    parts = F.filter(F.split("_template", "/"), lambda s: s != "")
+    n = F.size("_parts")
+    path = lambda xs: F.concat(F.lit("/"), F.array_join(xs, "/"))
+    sibling = lambda k: path(F.transform("_parts", lambda s, i: F.when(i == n - 1 - k, F.lit("{sibling}")).otherwise(s)))
+    above = lambda k: F.concat(path(F.slice("_parts", 1, n - 1 - k)), F.lit("/{below}"))
+    levels = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    branch = lambda kind, at: lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("k"), at(k).alias("at"))
+    # a branch holds the pages at its own node too
+    branches = F.concat(F.transform(levels, branch(0, sibling)), F.transform(F.sequence(F.lit(-1), n - 1), branch(1, above)))
+    spread = counts.withColumn("_parts", parts).select("_k", "_template", "_good", "_bad", F.explode(branches).alias("_b")).withColumns({"_at": F.regexp_replace("_b.at", "^/+", "/")})
+    joint = spread.filter(total > 0).groupBy("_k", "_at").agg(F.sum("_good").alias("_all_good"), F.sum("_bad").alias("_all_bad"))
+    share, pooled = F.col("_bad") / F.greatest(total, F.lit(1)), F.col("_all_bad") / F.greatest(all_total, F.lit(1))
+    alike = (F.col("_b.kind") == 0) & (all_total > total) & (F.abs(share - pooled) <= z * F.sqrt(pooled * (1 - pooled) / F.greatest(total, F.lit(1))))
+    met = spread.join(joint, ["_k", "_at"]).filter((total == 0) | alike)
+    judges = met.groupBy("_k", "_template").agg(F.min(F.struct("_b.kind", "_b.k", "_all_good", "_all_bad")).alias("_judge"))
+    both = counts.join(judges, ["_k", "_template"], "left")
+    good, bad = F.coalesce("_judge._all_good", "_good"), F.coalesce("_judge._all_bad", "_bad")
     smoothed = (bad + strength * prior) / (good + bad + strength)
     return both.withColumn("_bad_share", smoothed).withColumn("_rejected", smoothed > threshold)
 
