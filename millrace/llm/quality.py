@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             made[y] = b"".join(some)[-DICTIONARY:]
     measures = _measurer(made[1], made[0])
     rest = [(t, y) for y, texts in drawn.items() for i, (_, t) in enumerate(texts) if not i % 3]
-    total = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
+    total = {r[0]: r[1] for r in known.filter(fold("_id") != 0).groupBy("_y").count().collect()}
     x, y = _features(np.array([measures(t) for t, _ in rest])), np.array([v for _, v in rest])
     # the sample holds as many rows of either class as it can: weights give the classes their true shares
     w = _calibrate(x, y, np.where(y == 1, total[1] / (y == 1).sum(), total[0] / (y == 0).sum()))
