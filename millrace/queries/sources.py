@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.relations import REPORT, VARIANTS, report, table, variants, with_
 from ..registry import query
-from ..sources import files
+from ..session import shared_folder
+from ..sources import files, sinks
+
+
+def _written(df: DataFrame) -> str:
+    """The path of a CSV with the rows of ``df`` in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(df, path)
+    return path
 
 
 @query(
@@ -38,21 +48,23 @@ def src_calib_cfg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_csv_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = variants(spark, sf_dir)
     run = F.concat(F.lit("variant_"), F.col("variant").cast("string")).alias("run")
-    return v.filter("variant % 2 = 0").select(run, "recall", "dice").unionByName(v.filter("variant % 2 <> 0").select(run, "recall"), allowMissingColumns=True)
+    paths = [_written(v.filter("variant % 2 = 0").select(run, "recall", "dice")), _written(v.filter("variant % 2 <> 0").select(run, "recall"))]
+    read = files.csv_glob(spark, paths, "^(part-[0-9]+)", "_file")
+    return read.select("run", F.col("recall").cast("double"), F.col("dice").cast("double"))
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a declared CSV gives back: numbers pass as text and come again with the declared types."""
-    s = table(spark, sf_dir, "supplier")
-    texts = s.select(F.col("s_suppkey").cast("string"), "s_name", F.col("s_acctbal").cast("string"))
-    declared = s.select("s_suppkey", "s_name", "s_acctbal").schema
-    return texts.select([files.cast_text(f.name, f.dataType) for f in declared.fields])
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return files.csv(spark, _written(s), s.schema)
 
 
 @query()
 def src_csv_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.csv_or_empty(spark, f"{sf_dir}/no_such_file.csv", "stem string, iou double")
+    """A file that is there, and none of one that isn't."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("stem"), F.col("s_acctbal").cast("double").alias("iou"))
+    there = _written(s)
+    return files.csv_or_empty(spark, there, "stem string, iou double").union(files.csv_or_empty(spark, f"{there}-missing", "stem string, iou double"))
 
 
 @query()
