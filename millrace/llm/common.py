@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -15,14 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names; a folder of our own only if none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage at a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -43,6 +36,16 @@ def dropped(spark: SparkSession, path: str | None) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def columns(docs: DataFrame) -> list[Column]:
+    """All columns, whatever they are called."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
+def whole(docs: DataFrame) -> Column:
+    """A row as one struct: whatever its columns are called, they can't clash with names beside it."""
+    return F.struct(*columns(docs))
+
+
 def null_safe_key(column: Column) -> Column:
     """A string that is never null and tells null from every value."""
     return F.coalesce(F.concat(F.lit("v"), column.cast("string")), F.lit("n"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -23,13 +23,16 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, UPPER.lower()))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``docs`` with the text deduplicated and ``n_lines``, ``n_dropped`` added (in place of columns of those names).
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, counts: tuple[str, str] | None = ("n_lines", "n_dropped")
+) -> DataFrame:
+    """``docs`` with the text deduplicated and two ``counts`` of lines added (in place of columns of those names), or none.
 
     A key of at least ``min_chars`` code points held by at least ``min_docs`` different ids loses its lines in every
     document but the one with the largest id. A null or empty text is one empty line; a null text stays null. A null
     id counts as one document below all others. Repeated rows of an id are one document when lines are counted, and
-    each of them loses the same lines. An empty table gives an empty table.
+    each of them loses the same lines. Other columns pass unchanged, whatever their names. An empty table gives an
+    empty table.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = cut(
@@ -43,19 +46,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = (
         lines.join(shared, "_h")
         .filter(~F.col("_d.id").eqNullSafe(F.col("_last.id")))
-        .groupBy(F.col("_d.id").alias("_drop_id"), F.col("_t").alias("_drop_t"))
-        .agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
+        .groupBy(F.col("_d.id").alias("drop_id"), F.col("_t").alias("drop_t"))
+        .agg(F.sort_array(F.collect_set("_pos")).alias("drop"))
     )
-    kept_columns = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    joined = docs.join(drops.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_drop_id")) & (F.xxhash64(text) == F.col("_drop_t")), "left")
-    parts = F.split(text, "\n")
-    size, drop = F.size(parts), F.col("_drop")
+    held = docs.select(whole(docs).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("t"))
+    joined = held.join(drops, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("t") == F.col("drop_t")), "left")
+    given = joined["row"].getField(text_col)
+    parts = F.split(F.coalesce(given, F.lit("")), "\n")
+    size, drop = F.size(parts), joined["drop"]
     starts = F.concat(F.array(F.lit(0)), F.transform(drop, lambda p: p + 1))
     runs = F.filter(F.arrays_zip(starts.alias("a"), F.concat(drop, F.array(size)).alias("b")), lambda r: r["a"] < r["b"])
     kept = F.array_join(F.transform(runs, lambda r: F.array_join(F.slice(parts, r["a"] + 1, r["b"] - r["a"]), "\n")), "\n")
+    added = [size.cast("long"), F.when(drop.isNull(), F.lit(0)).otherwise(F.size(drop)).cast("long")]
     return joined.select(
-        *kept_columns,
-        F.when(drop.isNull(), F.col(text_col)).otherwise(kept).alias(text_col),
-        size.cast("long").alias("n_lines"),
-        F.when(drop.isNull(), F.lit(0)).otherwise(F.size(drop)).cast("long").alias("n_dropped"),
+        *[joined["row"].getField(c).alias(c) for c in docs.columns if c != text_col and c not in (counts or ())],
+        F.when(drop.isNull(), given).otherwise(kept).alias(text_col),
+        *[c.alias(n) for c, n in zip(added, counts or (), strict=False)],
     )

@@ -18,28 +18,30 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, null_safe_key
 
-#: The knapsack's table has at most this many sums; the proportional part and the greedy step leave no more, as far as lengths allow.
-WINDOW = 1 << 16
+#: Sums that the knapsack's table holds; the proportional part and the greedy step leave no more, as far as lengths allow. Where the goal is missed, the next larger one is tried.
+WINDOWS = (1 << 16, 1 << 20, 1 << 23)
 #: Documents of one source and length are ranked in so many parts.
 SALTS = 256
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, goal: int, window: int = WINDOW) -> np.ndarray:
+def fit(lengths: np.ndarray, counts: np.ndarray, goal: int, windows: Sequence[int] = WINDOWS) -> np.ndarray:
     """How many documents of each length to take so that their sum comes as near below ``goal`` as can be found.
 
-    First a proportional part of every length is taken for good; only if the rest can't make up the goal, half of that, then none.
+    First a proportional part of every length is taken for good; only if the rest can't make up the goal, half of that,
+    then none; and all three again with a larger table. The sum found is the nearest there is if it is the goal (or the
+    last multiple of all lengths' common divisor before it), or if the goal fits in the largest table.
     """
     order = np.argsort(-lengths, kind="stable")
     size, have = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     total = int((size * have).sum())
     if goal >= total:
         return counts.astype(np.int64)
-    best = have * 0
-    for part in (1 - 1e-12, 0.5, 0.0):
+    best, nearest = have * 0, goal - goal % int(np.gcd.reduce(size))
+    for window, part in ((w, p) for w in windows for p in (1 - 1e-12, 0.5, 0.0)):
         take = _fill(size, have, goal, np.floor(have * (goal / total) * part).astype(np.int64), window)
         if (size * take).sum() > (size * best).sum():
             best = take
-        if (size * best).sum() == goal:
+        if (size * best).sum() == nearest or (window >= goal and not part):
             break
     out = np.empty_like(best)
     out[order] = best
@@ -127,9 +129,8 @@ def mix_sources(
     An empty table gives an empty table. Columns other than the three named aren't read.
     """
     sized = cut(
-        docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("_size"))
+        docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("_size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"))
         .withColumn("_s", null_safe_key(F.col("_source")))
-        .withColumn("_h", F.xxhash64(F.lit(seed), F.col("_id")))
         .withColumn("_salt", F.pmod("_h", F.lit(SALTS)).cast("int"))
     )
     counts = cut(sized.groupBy("_s", "_size", "_salt").agg(F.count("*").alias("_n"), F.first("_source").alias("_source")))

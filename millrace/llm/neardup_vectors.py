@@ -26,7 +26,7 @@ BUCKET = 64
 
 def planes_and_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
     """Planes of a table, and tables that a pair at the threshold needs to be found with the recall given."""
-    planes = min(24, max(4, math.ceil(math.log2(max(n, 1) / BUCKET))))
+    planes = max(4, math.ceil(math.log2(max(n, 1) / BUCKET)))
     agree = (1 - math.acos(threshold) / math.pi) ** planes
     return planes, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
@@ -39,7 +39,8 @@ def vector_groups(
 
     Ids are integers. Null, zero and non-finite vectors, vectors with null components and rows with a null label link with nothing;
     vectors of different lengths neither. Copies are linked with each other and count as often as they come. A null
-    id is never a component's id; its row has no component unless links give it one. An empty table gives an empty table.
+    id is never a component's id; its row has no component unless links give it one. Other columns aren't read, whatever
+    their names. An empty table gives an empty table.
     """
     v = F.col(vector_col)
     # floats travel as they are; doubles are scaled, so that no square leaves their range
@@ -51,6 +52,7 @@ def vector_groups(
     base = base.withColumn("_g", F.when(F.col("_ok"), F.xxhash64("_label", "_v"))).withColumn("_g2", F.when(F.col("_ok"), F.xxhash64(F.lit(1), "_label", "_v")))
     nodes = cut(base.filter("_ok").groupBy("_g", "_g2").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.first("_v").alias("_v"), F.first("_label").alias("_label")))
     planes, tables = planes_and_tables(nodes.count(), threshold, recall)
+    code, codes_of = ("int", np.int32) if planes < 31 else ("long", np.int64)
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return (b.select(["_l", "_d", "_t", "_code"]) for b in hashed(batches))
@@ -71,7 +73,7 @@ def vector_groups(
                     raw = np.stack([flat[at[i] : at[i + 1]] for i in mine])
                     x = raw.astype(float) / np.abs(raw).max(axis=1, keepdims=True)
                     bits = ((x @ known[d]) > 0).reshape(len(mine), tables, planes)
-                    codes = (bits * (1 << np.arange(planes))).sum(axis=2).astype("<i4")
+                    codes = (bits * (1 << np.arange(planes))).sum(axis=2).astype(codes_of)
                     take = pa.array(np.repeat(mine, tables))
                     blob, seen = [r.tobytes() for r in (raw if form == "<f4" else x).astype(form)], [c.tobytes() for c in codes]
                     yield pa.RecordBatch.from_arrays(
@@ -81,8 +83,8 @@ def vector_groups(
 
     # labels are told apart by a key: any type will do
     labelled = nodes.select("rep", "copies", F.xxhash64(F.lit(2), "_label").alias("_l"), "_v")
-    coded = labelled.mapInArrow(hashed, "rep long, copies long, _l long, _d int, _t int, _code int, _x binary, _codes binary")
-    keys_alone = labelled.mapInArrow(keys_of, "_l long, _d int, _t int, _code int")
+    coded = labelled.mapInArrow(hashed, f"rep long, copies long, _l long, _d int, _t int, _code {code}, _x binary, _codes binary")
+    keys_alone = labelled.mapInArrow(keys_of, f"_l long, _d int, _t int, _code {code}")
 
     def use(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
         rep, copies, side, number = (table.column(c).to_numpy() for c in ("rep", "copies", "_side", "_t"))
@@ -100,7 +102,7 @@ def vector_groups(
             if not near.any():
                 continue
             a, b = np.nonzero(near)
-            codes = np.frombuffer(b"".join(seen[s:e]), "<i4").reshape(e - s, -1)
+            codes = np.frombuffer(b"".join(seen[s:e]), codes_of).reshape(e - s, -1)
             first = np.ones(len(a), bool)
             for t in range(int(number[s])):
                 first &= codes[a, t] != codes[b, t]

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class that a model sees at most: the first ones by a hash of the id. Two thirds make the dictionaries, one third the calibration.
 SAMPLE = 2000
-#: Longer texts (in bytes) aren't drawn into that sample.
-SAMPLE_TEXT = 32768
+#: Bytes of the longest text in that sample: with SAMPLE, the bound of what the driver holds. Other rows take the places of longer ones.
+LONGEST = 32768
 DICTIONARY, BLOCK, LEVEL = 65536, 512, 3
 #: Bytes of a compressed block that its text doesn't change.
 FRAME = 8
@@ -85,20 +85,24 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
     """Learns from labelled rows whose crc32(id as text) mod 5 isn't 0, at most the first ``sample`` of each class by a hash of the id.
 
-    Rows without text, label or id don't count. With under ten rows of a class the model scores by the share of
-    label 1 (0.5 without labels).
+    Rows without text, label or id don't count, nor do ids whose labels contradict each other; repeated labels count
+    once. Of several texts of an id the smallest is taken. Texts of more than ``longest`` bytes give their places in
+    the sample to others; scores read texts of any length. With under ten rows of a class the model scores by the share
+    of label 1 (0.5 without labels).
     """
     spark = docs.sparkSession
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y in (0, 1)").dropDuplicates(["_id"])
-    # ids are drawn from the labels alone, so that no text moves but the sample's: at most 2 * sample rows are broadcast
-    order = known.filter(fold("_id") != 0).withColumn("_h", F.xxhash64(F.lit("sample"), "_id"))
-    ids = [r for y in (0, 1) for r in order.filter(F.col("_y") == y).orderBy("_h", "_id").limit(sample).select("_id", "_y", "_h").collect()]
-    chosen = spark.createDataFrame(ids, order.select("_id", "_y", "_h").schema)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.octet_length("_text").between(1, SAMPLE_TEXT))
-    rows = sorted((r["_h"], r["_text"].encode(), r["_y"]) for r in texts.join(F.broadcast(chosen), "_id").collect())
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y in (0, 1)")
+    known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).filter(F.col("_id").isNotNull() & (F.col("_y") == F.col("_z")) & (fold("_id") != 0))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.octet_length("_text").between(1, longest))
+    # ids are drawn without their texts, which alone are large: at most 2 * sample rows are broadcast, and as many texts come back
+    order = known.join(texts.select("_id").distinct(), "_id", "left_semi").withColumn("_h", F.xxhash64(F.lit("sample"), "_id")).select("_id", "_y", "_h")
+    ids = [r for y in (0, 1) for r in order.filter(F.col("_y") == y).orderBy("_h", "_id").limit(sample).collect()]
+    chosen = spark.createDataFrame(ids, order.schema)
+    drawn_texts = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_h", "_y").agg(F.min("_text").alias("_text"))
+    rows = sorted((r["_h"], r["_text"].encode(), r["_y"]) for r in drawn_texts.collect())
     drawn = {y: [(h, t) for h, t, of in rows if of == y] for y in (0, 1)}
     if min(map(len, drawn.values())) < 10:
         share = (len(drawn[1]) + 1) / (len(drawn[0]) + len(drawn[1]) + 2)
@@ -112,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             made[y] = b"".join(some)[-DICTIONARY:]
     measures = _measurer(made[1], made[0])
     rest = [(t, y) for y, texts in drawn.items() for i, (_, t) in enumerate(texts) if not i % 3]
-    total = {r[0]: r[1] for r in known.filter(fold("_id") != 0).groupBy("_y").count().collect()}
+    total = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
     x, y = _features(np.array([measures(t) for t, _ in rest])), np.array([v for _, v in rest])
     # the sample holds as many rows of either class as it can: weights give the classes their true shares
     w = _calibrate(x, y, np.where(y == 1, total[1] / (y == 1).sum(), total[0] / (y == 0).sum()))
@@ -140,7 +144,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Scores of all documents by a model of their labels: id, held_out, score, predicted."""
+    """Scores of all documents by a model of their labels: id, held_out, score, predicted.
+
+    A null id is held out of nothing (held_out is false) and has no label. Null and empty texts have the score of no
+    text at all, very long ones are read whole. Repeated rows get equal rows. Other columns aren't read, whatever their
+    names. An empty table gives an empty one, and empty labels a score of 0.5 throughout.
+    """
     scored = score(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), fit(docs, labels, id_col, text_col), "_text", "_score")
     score_ = F.col("_score")
-    return scored.select(F.col("_id").alias(id_col), (fold("_id") == 0).alias("held_out"), score_.alias("score"), (score_ >= threshold).cast("int").alias("predicted"))
+    return scored.select(F.col("_id").alias(id_col), F.coalesce(fold("_id") == 0, F.lit(False)).alias("held_out"), score_.alias("score"), (score_ >= threshold).cast("int").alias("predicted"))

@@ -63,7 +63,7 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack
 
-    return pack(common.table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return pack(common.table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), prompt_end="\n", with_ids=False)
 
 
 URL_RULES = ("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")

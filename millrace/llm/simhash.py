@@ -1,8 +1,9 @@
 """SimHash near-dedup by pigeonhole blocks.
 
 Fingerprints are split into blocks. Two that differ in at most ``distance`` bits agree in all but as many blocks, so
-every combination of that many agreeing blocks is a key, and close pairs share at least one. Pairs within a key are
-verified by Hamming distance where they meet; only edges of a spanning forest leave. Equal fingerprints are one node.
+every combination of that many agreeing blocks is a key, and close pairs share at least one. More fingerprints take more
+blocks, so that a key's bits tell as many apart. Pairs within a key are verified by Hamming distance where they meet;
+only edges of a spanning forest leave. Equal fingerprints are one node, which its smallest id names.
 """
 
 from __future__ import annotations
@@ -16,9 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .components import PART, components, local_roots, map_runs, with_parts
 
 BITS = 64
+#: Fingerprints that a key has on average if they are spread evenly.
+BUCKET = 64
+#: A fingerprint of more than this part of all rows meets its component by a broadcast, of as many rows at most.
+HOT = 4096
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -74,9 +80,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, distance: int = 4, blocks: int = 6, part: int = PART) -> DataFrame:
-    """Edges (a, b) of a spanning forest of each run of different fingerprints ``fp`` at most ``distance`` bits apart."""
-    keyed = nodes.select("fp").withColumn("_k", F.explode(F.array(*_keys(distance, blocks)))).select("fp", F.col("_k._c").alias("_c"), F.col("_k._bits").alias("_bits"))
+def blocks_for(n: int, distance: int = 4) -> int:
+    """Blocks whose keys hold about BUCKET of ``n`` fingerprints at most, if those are spread evenly: 2 more than the distance at least."""
+    blocks = distance + 2
+    while blocks < 2 * distance + 2 and n >> (BITS * (blocks - distance) // blocks) > BUCKET:
+        blocks += 1
+    return blocks
+
+
+def links(nodes: DataFrame, distance: int = 4, blocks: int = 6, part: int = PART, name: str = "fp") -> DataFrame:
+    """Edges (a, b) of a spanning forest of each run of different fingerprints ``fp`` at most ``distance`` bits apart.
+
+    Nodes have the name (a long) that their column ``name`` has.
+    """
+    keyed = nodes.select("fp", F.col(name).alias("_name")).withColumn("_k", F.explode(F.array(*_keys(distance, blocks)))).select("fp", "_name", F.col("_k._c").alias("_c"), F.col("_k._bits").alias("_bits"))
 
     def use(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
         fp, side, diagonal = table.column("fp").to_numpy().view(np.uint64), table.column("_side").to_numpy(), table.column("_i").to_numpy() == table.column("_j").to_numpy()
@@ -104,24 +121,30 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int = 6, part: int = PART
         if not found and not len(root_a):
             return None
         a, b = spanning()
-        return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
+        names = table.column("_name").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=["a", "b"])
 
     return map_runs(with_parts(keyed, ["_c", "_bits"], "fp", part), ["_c", "_bits", "_i", "_j"], ["_side"], use, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
-    """(id, fingerprint, component_id) for every row of ``docs``.
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int | None = None) -> DataFrame:
+    """(id, fingerprint, component_id) for every row of ``docs``; ids are integers.
 
     Fingerprints at most ``distance`` bits apart are linked; the component's id is the smallest id of its rows. Null,
     empty and wordless texts have fingerprint zero and are linked like any other; a null id never names a component
-    unless all its ids are null. Repeated rows and equal texts are in one component. An empty table gives an empty table.
+    unless all its ids are null. Repeated rows and equal texts are in one component. Other columns aren't read, whatever
+    their names. An empty table gives an empty table. ``blocks`` follow the number of fingerprints if not given.
     """
-    from .common import cut
-
+    kind = docs.schema[id_col].dataType
     prints = cut(fingerprints(docs, id_col, text_col, words))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    found = components(links(nodes, distance, blocks))
-    labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    named = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_fp = labelled.join(named, "label").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    top = min(prints.agg(F.coalesce(F.max("id").cast("long"), F.lit(0))).first()[0], 1 << 62)
+    # fingerprints without an id have names beyond all ids
+    name = F.coalesce(F.col("first"), F.lit(top + 1) + F.monotonically_increasing_id())
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").cast("long").alias("first"), F.count("*").alias("n")).select("fp", "n", name.alias("name")))
+    size, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = components(links(nodes, distance, blocks or blocks_for(size, distance), name="name"))
+    label = F.coalesce("label", "name")
+    by_fp = cut(nodes.join(found, nodes["name"] == found["node"], "left").select("fp", "n", F.when(label <= top, label).cast(kind).alias("component_id")))
+    hot, rest = F.broadcast(by_fp.filter(F.col("n") * HOT > total)), by_fp.filter(F.col("n") * HOT <= total)
+    joined = prints.join(hot.drop("n"), "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(rest.drop("n"), "fp"))
+    return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

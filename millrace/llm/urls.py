@@ -74,23 +74,32 @@ def segments(path: Column) -> Column:
     return F.transform(parts, shape)
 
 
-def grow(pages: DataFrame, depth: int, children: int, support: int) -> DataFrame:
+def grow(pages: DataFrame, children: int, support: int) -> DataFrame:
     """Adds ``_template`` to rows of distinct (_k, _segments) with counts: node by node, rare segments of a wide node become ``{any}``.
 
     A node is wide if it has more than ``children`` different children; of those, the ones with fewer than ``support``
-    pages are variable. Segments beyond ``depth`` are one ``{rest}``.
+    pages are variable. Below a node with no more than ``children`` rows no node can be wide, so rows leave as soon as
+    theirs has no more, with their other segments as they are: the levels grown are those that have something to merge.
     """
-    pages = pages.withColumn("_template", F.lit(""))
-    most = pages.agg(F.coalesce(F.max(F.size("_segments")), F.lit(0))).first()[0]
-    for level in range(1, min(depth, most) + 1):
-        here = F.get("_segments", F.lit(level - 1))
-        nodes = pages.filter(F.size("_segments") >= level).groupBy("_k", "_template", here.alias("_seg")).agg(F.sum("_n").alias("_m"))
+    done = None
+    pages, level = pages.withColumn("_template", F.lit("")), 0
+    while True:
+        longer = F.size("_segments") > level
+        crowded = pages.filter(longer).groupBy("_k", "_template").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > children).select("_k", "_template", F.lit(True).alias("_crowded"))
+        flagged = pages.join(crowded, ["_k", "_template"], "left").withColumn("_open", longer & F.coalesce("_crowded", F.lit(False))).drop("_crowded")
+        open_ = flagged.filter("_open").drop("_open").withColumn("_seg", F.get("_segments", F.lit(level)))
+        nodes = open_.groupBy("_k", "_template", "_seg").agg(F.sum("_n").alias("_m"))
         wide = nodes.groupBy("_k", "_template").agg(F.count("*").alias("_children")).filter(F.col("_children") > children)
         rare = nodes.filter(F.col("_m") < support).join(wide, ["_k", "_template"], "left_semi").select("_k", "_template", "_seg", F.lit(True).alias("_rare"))
-        named = pages.withColumn("_seg", here).join(rare, ["_k", "_template", "_seg"], "left")
+        named = open_.join(rare, ["_k", "_template", "_seg"], "left")
         segment = F.when(F.col("_rare"), F.lit("{any}")).otherwise(F.col("_seg"))
-        pages = cut(named.withColumn("_template", F.when(F.col("_seg").isNull(), F.col("_template")).otherwise(F.concat("_template", F.lit("/"), segment))).drop("_seg", "_rare"))
-    return pages.withColumn("_template", F.when(F.size("_segments") > depth, F.concat("_template", F.lit("/{rest}"))).otherwise(F.col("_template")))
+        grown = cut(named.withColumn("_template", F.concat("_template", F.lit("/"), segment)).drop("_seg", "_rare"))
+        left = F.slice("_segments", level + 1, F.greatest(F.size("_segments") - level, F.lit(0)))
+        ended = cut(flagged.filter(~F.col("_open")).drop("_open").withColumn("_template", F.concat("_template", F.array_join(F.transform(left, lambda s: F.concat(F.lit("/"), s)), ""))))
+        done = ended if done is None else done.unionByName(ended)
+        if grown.isEmpty():
+            return done
+        pages, level = grown, level + 1
 
 
 def judged_templates(counts: DataFrame, prior: float, strength: float, threshold: float, z: float) -> DataFrame:
@@ -124,21 +133,23 @@ def judged_templates(counts: DataFrame, prior: float, strength: float, threshold
 
 
 def filter_urls(
-    pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", depth: int = 8, children: int = 32, support: int = 8,
+    pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", children: int = 32, support: int = 8,
     prior: float = 0.25, strength: float = 4.0, threshold: float = 0.5, z: float = 1.96,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, template, bad_share) for every row of ``pages``.
 
     ``rule`` is the longest rule that fits, else null; ``verdict`` is the rule's, else block if the template's smoothed
     share of blocked pages is above ``threshold``, else allow. A null url and one without ``://`` have an empty host
-    and path, which form a tree like any other. Repeated rows count as often as they come. An empty table gives an empty table.
+    and path, which form a tree like any other; paths may have any number of segments. Repeated rows count as often as
+    they come, null ids are ids like others. Other columns aren't read, whatever their names. An empty table gives an
+    empty table.
     """
     host, path = url_parts(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("_id"), host.alias("_host"), path.alias("_path")).withColumn("_r", rule_for(F.col("_host"), F.col("_path"), rules)).withColumn("_segments", segments(F.col("_path")))
     shapes = cut(
         parsed.groupBy(F.col("_host").alias("_k"), "_segments").agg(F.count("*").alias("_n"), F.count_if(F.col("_r.verdict") == "allow").alias("_good"), F.count_if(F.col("_r.verdict") == "block").alias("_bad"))
     )
-    grown = grow(shapes, depth, children, support)
+    grown = grow(shapes, children, support)
     templates = grown.groupBy("_k", "_template").agg(F.sum("_good").alias("_good"), F.sum("_bad").alias("_bad"))
     judged = judged_templates(templates, prior, strength, threshold, z).select("_k", "_template", "_bad_share", "_rejected")
     shaped = grown.join(judged, ["_k", "_template"]).select(F.col("_k").alias("_host"), "_segments", "_template", "_bad_share", "_rejected")
