@@ -131,16 +131,19 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     """
     held = [c for c in docs.columns if c != score_col]
     at = held.index(text_col)
-    field = lambda c: f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}"
+    # columns go by number, since names may hold any character
+    numbered = [f"c{i}" for i in range(len(held))]
+    fields = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(numbered, held, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = model.scorer()
         for batch in batches:
             texts = batch.column(at)
             values = np.concatenate([scores([(t.as_py() or "").encode() for t in texts[k : k + 1000]]) for k in range(0, len(texts), 1000)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*held, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*numbered, "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in held]).mapInArrow(run, ", ".join([*map(field, held), f"`{score_col}` double"]))
+    given = docs.select(*[F.col(f"`{c.replace('`', '``')}`").alias(n) for c, n in zip(held, numbered, strict=True)])
+    return given.mapInArrow(run, ", ".join([*fields, "score double"])).toDF(*held, score_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
