@@ -3,20 +3,28 @@
 Tokens are bytes or words. Of each window the m tokens with the least hash are its anchor; equal windows have equal
 anchors. First, 32 bits of every anchor's hash and its place go to a bucket, which names the documents whose anchors
 another document may have too; no window of the others can repeat. Then consecutive windows with one such anchor
-travel together, as one packed string, to the bucket that the anchor names. Equal strings of one batch are settled
-where they are read, and only the one of the smallest id travels. The bucket leaves out anchors of a single document,
-sorts the windows that remain by multikey quicksort, and gives back the token ranges that go. All rows that move are
-compressed blobs: one for each batch and bucket on the way out, one for each bucket and group of documents on the way
-back. A group has about a batch of text, and both times its documents come by the same exchange.
-
+travel together, as one packed string, to the bucket that the anchor names: by its hash for words, by the range of its
+leading bytes at sampled splitters for bytes. Equal strings of one batch are settled where they are read, and only the
+one of the smallest id travels. The bucket leaves out anchors of a single document, sorts windows by multikey quicksort
+(all suffixes of its strings for bytes, those whose hashes agree for words), compares neighbours and gives back the
+token ranges that go.
+
+A range ends between two leading values, so equal windows have a boundary between them only where an anchor is
+frequent: its strings are dealt in parts by document. Each part hands on the strings that hold a least id of its own,
+and those are compared across all parts of the range. What a task holds of a bucket is settled whenever it has grown
+large, which leaves the least ids alone, so copies never add up.
+
+All rows that move are compressed blobs: one for each batch and bucket on the way out, one for each bucket and group of
+documents on the way back. A group has about a batch of text, and both times its documents come by the same exchange.
 Splitters and frequent anchors are found in a bounded sample; they only deal out work and never change results.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +36,14 @@ from pyspark.sql import functions as F
 BATCH, BUCKET = 2 << 20, 1 << 20
 #: Bytes of text that a bucket of anchors alone stands for.
 ANCHORS = 16 << 20
+#: Ranges at most; with more buckets than that, each range has some, by the anchor's hash. Parts of a range's frequent anchors.
+RANGES, PARTS = 4096, 64
+#: Bytes of strings, and places, that a bucket holds before they are settled.
+HELD, PLACES = 32 << 20, 4 << 20
 #: Rows of the sample, and bytes of its longest text.
 SAMPLE, SAMPLE_TEXT = 2000, 1 << 16
+#: Places in the sample of an anchor that is frequent, at least.
+OFTEN = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LOW = 24
 
@@ -46,6 +60,9 @@ class Plan:
     groups: int = 1
     splitters: tuple[int, ...] | None = None
     frequent: tuple[int, ...] = ()
+    batch: int = field(default_factory=lambda: BATCH)
+    held: int = HELD
+    places: int = PLACES
 
 
 class Powers:
@@ -131,29 +148,55 @@ def equal_spans(buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarra
     return out
 
 
+def characters(words: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next seven bytes of strings that have ``left`` more bytes, and how many of those seven there are, as numbers that sort like them."""
+    masks = np.array([((1 << 8 * k) - 1) << (64 - 8 * k) for k in range(8)], np.uint64)
+    have = np.clip(left, 0, 7)
+    return (words[np.minimum(at, len(words) - 1)].astype(np.uint64) & masks[have]) | have.astype(np.uint64)
+
+
 def multikey_groups(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A number for each buf[s:e], in sorted order, equal for equal strings: sorts by 8 bytes, then within ties by the next 8."""
+    """A number for each buf[s:e], in sorted order, equal for equal strings: multikey quicksort, all its segments a step at a time.
+
+    Characters are seven bytes. The first ones are sorted at once; then each segment of ties is split at a pivot's
+    character into less, equal and more, and equal ones go on to the next character.
+    """
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     words = np.ndarray((len(buf) + 1,), ">u8", padded, strides=(1,))
-    masks = np.array([0] + [((1 << 8 * k) - 1) << (64 - 8 * k) for k in range(1, 9)], np.uint64)
     length = e - s
-    group = np.zeros(len(s), np.int64)
-    open_, depth = np.arange(len(s)), 0
-    while len(open_) > 1:
-        left = np.clip(length[open_] - depth, 0, 8)
-        key = words[np.minimum(s[open_] + depth, len(buf))].astype(np.uint64) & masks[left]
-        order = np.lexsort((left, key, group[open_]))
-        rows = open_[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (group[rows[1:]] != group[rows[:-1]]) | (key[order][1:] != key[order][:-1]) | (left[order][1:] != left[order][:-1])
-        head = np.flatnonzero(new)
-        # the first place of a group of ties, counted within the group it was in, keeps the order of all others
-        before = np.maximum.accumulate(np.where(np.append(True, group[rows[1:]] != group[rows[:-1]]), np.arange(len(rows)), 0))
-        value = group[rows] + np.repeat(head, np.diff(np.append(head, len(rows)))) - before
-        group[rows] = value
-        sizes = np.repeat(np.diff(np.append(head, len(rows))), np.diff(np.append(head, len(rows))))
-        depth += 8
-        open_ = rows[(sizes > 1) & (length[rows] > depth)]
+    key = characters(words, s, length)
+    order = np.argsort(key)
+    key = key[order]
+    head = np.append(True, key[1:] != key[:-1])[: len(s)]
+    start = np.flatnonzero(head)
+    size = np.diff(np.append(start, len(s)))
+    depth = np.full(len(start), 7)
+    tied = (size > 1) & ((key[start] & np.uint64(7)) == 7)
+    start, size, depth = start[tied], size[tied], depth[tied]
+    while len(start):
+        run, place = gathered(size)
+        base = np.cumsum(size) - size
+        rows = order[start[run] + place]
+        key = characters(words, s[rows] + depth[run], length[rows] - depth[run])
+        pivot = key[base + size // 2]
+        less, same = key < pivot[run], key == pivot[run]
+        n_less, n_same = np.add.reduceat(less, base, dtype=np.int64), np.add.reduceat(same, base, dtype=np.int64)
+        less_before, same_before = np.cumsum(less) - less, np.cumsum(same) - same
+        less_before, same_before = less_before - less_before[base][run], same_before - same_before[base][run]
+        to = np.where(less, less_before, np.where(same, n_less[run] + same_before, (n_less + n_same)[run] + place - less_before - same_before))
+        order[start[run] + to] = rows
+        middle, end, n_more = start + n_less, start + n_less + n_same, size - n_less - n_same
+        head[middle[n_less > 0]] = True
+        head[end[n_more > 0]] = True
+        on = (n_same > 1) & ((pivot & np.uint64(7)) == 7)
+        left, right = n_less > 1, n_more > 1
+        start, size, depth = (
+            np.concatenate([start[left], middle[on], end[right]]),
+            np.concatenate([n_less[left], n_same[on], n_more[right]]),
+            np.concatenate([depth[left], depth[on] + 7, depth[right]]),
+        )
+    group = np.empty(len(s), np.int64)
+    group[order] = np.maximum.accumulate(np.where(head, np.arange(len(s)), 0))
     return group
 
 
@@ -179,24 +222,29 @@ class Rows:
         return zstandard.compress(head + b"".join(body) + self.data, 3)
 
     @classmethod
-    def unpack(cls, blobs: list[bytes], glue: bytes) -> tuple[Rows, np.ndarray]:
-        cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-        data, settled = [], []
-        for blob in blobs:
-            raw = zstandard.decompress(blob)
-            d, n, k = struct.unpack_from("<QQQ", raw)
-            at, parts = 24, []
-            for size in (d, d, n, n, n, n, n, k, k, k, k):
-                parts.append(unplanes(raw, size, at, "<i8"))
-                at += 8 * size
-            ids, texts, own, first, *rest = parts
-            own = np.cumsum(own) - 1
-            for c, x in zip(cols, (ids[own], texts[own], np.cumsum(first), *rest[:3]), strict=True):
-                c.append(x)
-            settled.append(np.column_stack(rest[3:]))
-            if n:
-                data.append(raw[at:])
-        return cls(*map(np.concatenate, cols), glue.join(data)), np.concatenate(settled)
+    def unpack(cls, blob: bytes) -> tuple[Rows, np.ndarray]:
+        raw = zstandard.decompress(blob)
+        d, n, k = struct.unpack_from("<QQQ", raw)
+        at, parts = 24, []
+        for size in (d, d, n, n, n, n, n, k, k, k, k):
+            parts.append(unplanes(raw, size, at, "<i8"))
+            at += 8 * size
+        ids, texts, own, first, *rest = parts
+        own = np.cumsum(own) - 1
+        return cls(ids[own], texts[own], np.cumsum(first), *rest[:3], raw[at:]), np.column_stack(rest[3:])
+
+    @classmethod
+    def joined(cls, parts: list[Rows], glue: bytes) -> Rows:
+        cols = (np.concatenate([getattr(p, c) for p in parts]) for c in ("id", "text", "first", "windows", "anchor", "length"))
+        return cls(*cols, glue.join([p.data for p in parts if len(p.id)]))
+
+    def some(self, mask: np.ndarray, glue: bytes) -> Rows:
+        end = np.cumsum(self.length + len(glue)) - len(glue)
+        raw, spans = memoryview(self.data), zip((end - self.length)[mask].tolist(), end[mask].tolist(), strict=True)
+        return Rows(*(c[mask] for c in (self.id, self.text, self.first, self.windows, self.anchor, self.length)), glue.join([raw[a:b] for a, b in spans]))
+
+    def size(self) -> int:
+        return len(self.data) + 48 * len(self.id)
 
 
 class Cutter:
@@ -209,18 +257,18 @@ class Cutter:
 
     def segments(self, key: int, text_hash: int, text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
         """(id, text hash, first token, bytes) of a document, in overlapping parts where it is long."""
-        n = self.plan.n
+        n, batch = self.plan.n, self.plan.batch
         if not self.plan.words:
-            for at in range(0, max(1, len(text) - n + 1), BATCH):
-                yield key, text_hash, at, text[at : at + BATCH + n - 1]
+            for at in range(0, max(1, len(text) - n + 1), batch):
+                yield key, text_hash, at, text[at : at + batch + n - 1]
             return
         text = packed_words(text)
-        if len(text) <= BATCH:
+        if len(text) <= batch:
             yield key, text_hash, 0, text
             return
         parts = text.split(b" ")
-        for at in range(0, max(1, len(parts) - n + 1), BATCH // 16):
-            yield key, text_hash, at, b" ".join(parts[at : at + BATCH // 16 + n - 1])
+        for at in range(0, max(1, len(parts) - n + 1), batch // 16):
+            yield key, text_hash, at, b" ".join(parts[at : at + batch // 16 + n - 1])
 
     def anchors(self, docs: list[tuple[int, int, int, bytes]]):
         """The buffer, its prefix sums, tokens, and of each packed row: document, first token, windows, anchor's token, anchor's hash."""
@@ -258,7 +306,9 @@ class Cutter:
             return (h % np.uint64(self.plan.buckets)).astype(np.int64)
         lead = leading(buf, tokens.spans(anchor, 1)[0])
         low, high = np.searchsorted(self.splitters, lead, "left"), np.searchsorted(self.splitters, lead, "right")
-        return np.where(high > low, low + 1 + (h % np.maximum(high - low, 1).astype(np.uint64)).astype(np.int64), low)
+        range_ = np.where(high > low, low + 1 + (h % np.maximum(high - low, 1).astype(np.uint64)).astype(np.int64), low)
+        each = self.plan.buckets // (len(self.splitters) + 1)
+        return range_ * each + ((h >> np.uint64(20)) % np.uint64(each)).astype(np.int64)
 
     def places(self, docs: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, bytes]]:
         """Every anchor's hash and place, for its wide bucket; frequent ones have a twin in any case."""
@@ -294,13 +344,8 @@ class Cutter:
             return
         bucket = self.bucket(buf, tokens, anchor, h)
         if len(self.frequent) and (often := np.isin(h, self.frequent)).any():
-            # windows of a frequent anchor go one by one, by their own hash
-            run, place = gathered(np.where(often, count, 1))
-            head = head[run] + place
-            doc, often = doc[run], often[run]
-            count, anchor = np.where(often, 1, count[run]), anchor[run]
-            own = mixed(span_hash(pre, *tokens.spans(head, plan.n)))
-            bucket = np.where(often, (own % np.uint64(plan.buckets)).astype(np.int64), bucket[run])
+            part = (mixed(ids[doc].view(np.uint64)) % np.uint64(PARTS)).astype(np.int64)
+            bucket = np.where(often, plan.buckets + bucket * PARTS + part, bucket)
         s, e = tokens.spans(head, count + plan.n - 1)
         content = span_hash(pre, s, e)
         order = np.lexsort((ids[doc], content))
@@ -359,7 +404,7 @@ def by_group(groups: int, ids: np.ndarray, texts: np.ndarray, first: np.ndarray,
     """One row for each group of documents, with what is told of them as one compressed string."""
     if not len(ids):
         return None
-    group = ids % groups
+    group = (ids ^ texts) % groups
     order = np.lexsort((first, texts, ids, group))
     group, ids, texts, first = group[order], ids[order], texts[order], first[order]
     more = tuple(m[order] for m in more)
@@ -390,15 +435,15 @@ def told(blobs: list[bytes], values: int) -> dict[tuple[int, int], list[np.ndarr
     return {k: [np.concatenate(c) for c in zip(*v, strict=True)] for k, v in parts.items()}
 
 
-def shared_places(blobs: list[bytes], groups: int) -> pa.RecordBatch | None:
-    """The places of a wide bucket's anchors that two ids have, or that are sure."""
-    ids, texts, at, short, sure = (np.concatenate(c) for c in zip(*map(unpack_places, blobs), strict=True))
+def shared_places(held: list[tuple[np.ndarray, ...]], known: np.ndarray, groups: int) -> tuple[pa.RecordBatch | None, tuple[np.ndarray, ...], np.ndarray]:
+    """Of a wide bucket's places: told are those whose anchors two ids have, or that are known or sure; the others; and the anchors now known."""
+    ids, texts, at, short, sure = (np.concatenate(c) for c in zip(*held, strict=True))
     order = np.argsort(short, kind="stable")
-    heads = np.flatnonzero(np.append(True, short[order][1:] != short[order][:-1]))
-    low, high = np.minimum.reduceat(ids[order], heads), np.maximum.reduceat(ids[order], heads)
-    keep = sure.copy()
-    keep[order[np.repeat(low != high, np.diff(np.append(heads, len(order))))]] = True
-    return by_group(groups, ids[keep], texts[keep], at[keep])
+    heads = np.flatnonzero(np.append(True, short[order][1:] != short[order][:-1])[: len(short)])
+    low, high = (f.reduceat(ids[order], heads) if len(heads) else ids for f in (np.minimum, np.maximum))
+    known = np.union1d(known, short[order][heads][low != high])
+    keep = sure | np.isin(short, known)
+    return by_group(groups, ids[keep], texts[keep], at[keep]), tuple(c[~keep] for c in (ids, texts, at, short, sure)), known
 
 
 def leading(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -407,12 +452,12 @@ def leading(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) + 1,), ">u8", padded, strides=(1,))[at].astype(np.uint64)
 
 
-def later_windows(rows: Rows, plan: Plan) -> np.ndarray:
-    """(id, text hash, first token, end) of the token ranges of windows whose strings a smaller id of the bucket has too."""
+def later_windows(rows: Rows, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """(id, text hash, first token, end) of the token ranges of windows whose strings a smaller id of these rows has too; and which rows have others."""
     gap = int(plan.words)
-    none = np.zeros((0, 4), np.int64)
+    none, stays = np.zeros((0, 4), np.int64), np.ones(len(rows.id), bool)
     if not len(rows.id):
-        return none
+        return none, stays
     buf = np.frombuffer(rows.data, np.uint8)
     pre, tokens = prefix_sums(buf), Tokens(buf, plan.words)
     start = np.cumsum(rows.length + gap) - rows.length - gap
@@ -425,7 +470,7 @@ def later_windows(rows: Rows, plan: Plan) -> np.ndarray:
     low, high = np.minimum.reduceat(rows.id[order], heads), np.maximum.reduceat(rows.id[order], heads)
     own = np.sort(order[np.repeat(low != high, np.diff(np.append(heads, len(order))))])
     if not len(own):
-        return none
+        return none, stays
     # each different string once, with the smallest id that has it
     content = span_hash(pre, start[own], start[own] + rows.length[own])
     order = np.lexsort((rows.id[own], rows.length[own], content))
@@ -441,11 +486,14 @@ def later_windows(rows: Rows, plan: Plan) -> np.ndarray:
     one = own[order[np.append(True, of[1:] != of[:-1])]]
     run, place = gathered(rows.windows[one])
     s, e = tokens.spans(token[one][run] + place, plan.n)
-    wh = span_hash(pre, s, e)
     first_id = rows.id[one][run]
-    order = np.argsort(wh, kind="stable")
-    differ = wh[order][1:] != wh[order][:-1]
-    tied = order[~(np.append(True, differ) & np.append(differ, True))]
+    if plan.splitters is None:  # hashes tell which windows to sort
+        wh = span_hash(pre, s, e)
+        order = np.argsort(wh, kind="stable")
+        differ = wh[order][1:] != wh[order][:-1]
+        tied = order[~(np.append(True, differ) & np.append(differ, True))]
+    else:
+        tied = np.arange(len(s))
     if len(tied):
         group = multikey_groups(buf, s[tied], e[tied])
         order = np.argsort(group, kind="stable")
@@ -461,14 +509,16 @@ def later_windows(rows: Rows, plan: Plan) -> np.ndarray:
         opens = gone & np.append(True, ~gone[:-1] | (run[1:] != run[:-1]))
         closes = gone & np.append(~gone[1:] | (run[1:] != run[:-1]), True)
         mine = r[run[opens]]
+        stays[r] = ~np.logical_and.reduceat(gone, np.cumsum(rows.windows[r]) - rows.windows[r])
         out.append(np.column_stack([rows.id[mine], rows.text[mine], rows.first[mine] + place[opens], rows.first[mine] + place[closes] + plan.n]))
-    return np.concatenate(out)
+    return np.concatenate(out), stays
 
 
-def plan_for(docs: DataFrame, words: bool, n: int, m: int, ranged: bool) -> Plan:
+def plan_for(docs: DataFrame, n_rows: int, n_bytes: int, words: bool, n: int, m: int, ranged: bool) -> Plan:
     """Buckets by the bytes of all texts; splitters and frequent anchors by a sample of about SAMPLE rows."""
-    n_rows, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
     buckets = max(1, -(-n_bytes // BUCKET))
+    ranges = min(buckets, RANGES)
+    buckets = -(-buckets // ranges) * ranges
     every = max(1, n_rows // SAMPLE)
     sample = docs.filter((F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(every)) == 0) & F.col("_bytes").between(n, SAMPLE_TEXT)).select("_id", "_text").limit(SAMPLE)
     cutter, lead, seen = Cutter(Plan(words, n, m)), [], []
@@ -485,9 +535,11 @@ def plan_for(docs: DataFrame, words: bool, n: int, m: int, ranged: bool) -> Plan
             waiting, size = [], 0
     hashes, leads = np.concatenate([*seen, np.zeros(0, np.uint64)]), np.sort(np.concatenate([*lead, np.zeros(0, np.uint64)]))
     values, counts = np.unique(hashes, return_counts=True)
-    frequent = values[counts > max(64, 2 * len(hashes) // buckets)]
-    splitters = tuple(leads[np.arange(1, buckets) * len(leads) // buckets].tolist()) if ranged and len(leads) else None
-    return Plan(words, n, m, int(buckets), max(1, -(-n_bytes // ANCHORS)), prime(max(1, -(-n_bytes // BATCH))), splitters, tuple(frequent.tolist()))
+    frequent = values[counts > max(OFTEN, 2 * len(hashes) // buckets)]
+    splitters = None
+    if ranged:
+        splitters = tuple(leads[np.arange(1, ranges) * len(leads) // ranges].tolist()) if len(leads) else ()
+    return Plan(words, n, m, int(buckets), max(1, -(-n_bytes // ANCHORS)), prime(max(1, -(-n_bytes // BATCH))), splitters, tuple(frequent.tolist()), BATCH, HELD, PLACES)
 
 
 def prime(n: int) -> int:
@@ -502,15 +554,22 @@ def with_repeats(docs: DataFrame, id_col: str, text_col: str, words: bool, n: in
     """Maps (whole text as UTF-8, covered ranges' starts and sizes) of every row by ``finish`` to the columns of ``schema``, after the id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    size = F.octet_length(text).cast("long")
+    per_id = docs.groupBy(key.alias("_id")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    most, n_rows, n_bytes = per_id.agg(*[F.coalesce(c, F.lit(0)) for c in (F.max("n"), F.sum("n"), F.sum("bytes"))]).first()
     # texts' hashes tell rows of one id apart; they cost 8 bytes with each place, so they are 0 where every id has one row
-    repeated = not docs.groupBy(key.alias("_id")).count().filter("count > 1").isEmpty()
-    base = docs.select(key.alias("_id"), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("_t"), text.alias("_text"), F.octet_length(text).cast("long").alias("_bytes"))
-    plan = plan_for(base, words, n, m, ranged)
+    repeated = most > 1
+    base = docs.select(key.alias("_id"), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("_t"), text.alias("_text"))
+    if repeated:  # equal rows go as one
+        base = base.groupBy("_id", "_t", "_text").agg(F.count("*").alias("_n"))
+    base = base.withColumn("_bytes", F.octet_length("_text").cast("long"))
+    plan = plan_for(base, n_rows, n_bytes, words, n, m, ranged)
     glue = b"\n" if words else b""
     names = [f.split()[0] for f in schema.split(", ")]
     kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
     blob_kind, told_kind = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())]), "_b long, told binary"
-    out_kind = pa.schema([("_id", pa.int64()), *[(x, kinds[k]) for x, k in (f.split() for f in schema.split(", "))]])
+    copies = ("_n long, ", [("_n", pa.int64())]) if repeated else ("", [])
+    out_kind = pa.schema([("_id", pa.int64()), *copies[1], *[(x, kinds[k]) for x, k in (f.split() for f in schema.split(", "))]])
 
     def rows_of(table) -> Iterator[tuple[int, int, bytes]]:
         for k, t, x in zip(table.column("_id").to_pylist(), table.column("_t").to_pylist(), table.column("_text"), strict=True):
@@ -531,7 +590,7 @@ def with_repeats(docs: DataFrame, id_col: str, text_col: str, words: bool, n: in
                 waiting.append(segment)
                 known.append(some)
                 size += len(segment[3])
-                if size >= BATCH:
+                if size >= plan.batch:
                     yield from out()
                     waiting, known, size = [], [], 0
         if waiting:
@@ -540,57 +599,108 @@ def with_repeats(docs: DataFrame, id_col: str, text_col: str, words: bool, n: in
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batched(((*r, None) for b in batches for r in rows_of(b)), lambda cutter, waiting, known: cutter.places(waiting))
 
-    def bucketwise(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-        held: list[bytes] = []
-        now = None
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if bucket != now and held:
-                    yield held
-                    held = []
-                now = bucket
-                held.append(blob.as_py())
-        if held:
-            yield held
+    def bucketwise(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[bytes]]]:
+        pairs = ((bucket, blob) for batch in batches for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for bucket, of in groupby(pairs, key=lambda p: p[0]):
+            yield bucket, (blob.as_py() for _, blob in of)
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return (found for held in bucketwise(batches) if (found := shared_places(held, plan.groups)) is not None)
+        for _, blobs in bucketwise(batches):
+            held, size, limit, known = [], 0, plan.places, np.zeros(0, np.uint32)
+            for blob in blobs:
+                held.append(unpack_places(blob))
+                size += len(held[-1][0])
+                if size > limit:
+                    found, rest, known = shared_places(held, known, plan.groups)
+                    held, size = [rest], len(rest[0])
+                    limit = max(limit, 2 * size)
+                    if found is not None:
+                        yield found
+            if (found := shared_places(held, known, plan.groups)[0]) is not None:
+                yield found
 
     def cut_up(docs: pa.Table, places: pa.Table) -> pa.Table:
         known = told(places.column("told").to_pylist(), 0)
         rows = ((k, t, x, np.sort(known[(k, t)][0])) for k, t, x in rows_of(docs) if (k, t) in known)
         return pa.Table.from_batches(list(batched(rows, lambda cutter, waiting, some: cutter.cut(waiting, some))), blob_kind)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(bucket: int, blobs: Iterator[bytes]) -> Iterator[tuple[np.ndarray, Rows | None]]:
+        """Ranges found in a bucket, bit by bit; with the last ones the rows that hold least ids."""
+        parts, size, limit = [], 0, plan.held
+        for blob in blobs:
+            rows, settled = Rows.unpack(blob)
+            yield settled, None
+            parts.append(rows)
+            size += rows.size()
+            if size > limit:
+                rows = Rows.joined(parts, glue)
+                found, stays = later_windows(rows, plan)
+                yield found, None
+                parts = [rows.some(stays, glue)]
+                size = parts[0].size()
+                limit = max(limit, 2 * size)
+        rows = Rows.joined(parts, glue)
+        found, stays = later_windows(rows, plan)
+        yield found, rows.some(stays, glue) if bucket >= plan.buckets else None
+
+    def answers(buckets: Iterator[tuple[int, Iterator[bytes]]]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
-        for held in bucketwise(batches):
-            rows, settled = Rows.unpack(held, glue)
-            found += [settled, later_windows(rows, plan)]
-            size += len(settled) + len(found[-1])
-            if size > 1 << 18:
-                yield ranges(np.concatenate(found))
-                found, size = [], 0
+        for bucket, blobs in buckets:
+            for ranges, rest in settle(bucket, blobs):
+                found.append(ranges)
+                size += len(ranges)
+                if size > 1 << 18:
+                    yield told_of(found)
+                    found, size = [], 0
+                if rest is not None and len(rest.id):
+                    blob = rest.pack(np.zeros((0, 4), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - (bucket - plan.buckets) // PARTS], pa.int64()), pa.array([blob], pa.binary())], names=["_b", "told"])
         if size:
-            yield ranges(np.concatenate(found))
+            yield told_of(found)
 
-    def ranges(found: np.ndarray) -> pa.RecordBatch:
-        ids, texts, starts, ends = found.T
+    def told_of(found: list[np.ndarray]) -> pa.RecordBatch:
+        ids, texts, starts, ends = np.concatenate(found).T
         return by_group(plan.groups, ids, texts, starts, ends - starts)
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return answers(bucketwise(batches))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Compares the parts of frequent anchors (with negative numbers, which come first); all else passes."""
+        batches, through = iter(batches), []
+
+        def parts() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                after = batch.column(0).to_numpy() >= 0
+                through.append(batch.filter(pa.array(after)))
+                if not after.all():
+                    yield batch.filter(pa.array(~after))
+                if after.any():
+                    return
+
+        yield from answers(bucketwise(parts()))
+        yield from through
+        yield from batches
+
     def finished(docs: pa.Table, found: pa.Table) -> pa.Table:
         known = told(found.column("told").to_pylist(), 1)
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        rows = [(k, *finish(x, *known.get((k, t), none))) for k, t, x in rows_of(docs)]
+        counts = docs.column("_n").to_pylist() if repeated else [None] * docs.num_rows
+        rows = [(k, *[n] * repeated, *finish(x, *known.get((k, t), none))) for (k, t, x), n in zip(rows_of(docs), counts, strict=True)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out_kind, strict=True)], schema=out_kind) if rows else out_kind.empty_table()
 
     def dealt(blobs: DataFrame, use) -> DataFrame:
         return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(use, told_kind)
 
     # both times that documents meet what is told of them they come by one exchange, which is made once
-    grouped = base.select(F.pmod("_id", F.lit(plan.groups)).alias("_b"), "_id", "_t", "_text").groupBy("_b")
+    grouped = base.select(F.pmod(F.col("_id").bitwiseXOR(F.col("_t")), F.lit(plan.groups)).alias("_b"), *base.drop("_bytes").columns).groupBy("_b")
     shared = dealt(base.filter(F.col("_bytes") >= n).select("_id", "_t", "_text").mapInArrow(place, "bucket long, blob binary"), share)
     found = dealt(grouped.cogroup(shared.groupBy("_b")).applyInArrow(cut_up, "bucket long, blob binary"), judge)
-    out = grouped.cogroup(found.groupBy("_b")).applyInArrow(finished, f"_id long, {schema}")
+    if plan.frequent:
+        found = found.repartition("_b").sortWithinPartitions("_b").mapInArrow(across, told_kind)
+    out = grouped.cogroup(found.groupBy("_b")).applyInArrow(finished, f"_id long, {copies[0]}{schema}")
+    if repeated:
+        out = out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     return out.select(F.when(F.col("_id") != -(1 << 63), F.col("_id")).cast(docs.schema[id_col].dataType).alias(id_col), *names)
 
 
@@ -605,8 +715,8 @@ def covered(length: int, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 16) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): texts without the bytes that a string of ``length`` bytes covers which also starts in a smaller id.
 
-    Anchors are range-partitioned by their leading bytes at sampled splitters. Strings are judged on the input; kept is
-    binary, since cuts may fall within a character. A null text is empty; texts shorter than ``length`` lose nothing.
+    Suffixes are range-partitioned in runs, by the leading bytes of their anchor, at sampled splitters, and sorted in
+    their buckets. Strings are judged on the input; kept is binary, since cuts may fall within a character. A null text is empty; texts shorter than ``length`` lose nothing.
     A null id is below all others. Rows of one id never remove each other's bytes, and each loses what smaller ids
     have; repeated rows get equal results. An empty table gives an empty table.
     """
