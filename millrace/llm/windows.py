@@ -9,14 +9,16 @@ one of the smallest id travels. The bucket leaves out anchors of a single docume
 (all suffixes of its strings for bytes, those whose hashes agree for words), compares neighbours and gives back the
 token ranges that go.
 
-A range ends between two leading values, so equal windows have a boundary between them only where an anchor is
-frequent: its strings are dealt in parts by document. Each part hands on the strings that hold a least id of its own,
-and those are compared across all parts of the range. What a task holds of a bucket is settled whenever it has grown
-large, which leaves the least ids alone, so copies never add up.
+Windows of a frequent anchor go one by one, by the range of their own leading bytes (by their own hash for words). A
+range ends between two leading values, so equal windows have a boundary between them only where a window is itself
+frequent: it is dealt in parts by document. Each part hands on the windows that hold a least id of its own, and those
+are compared across all parts of the range. What a task holds of a bucket is settled whenever it has grown large, which
+leaves the least ids alone, so copies never add up.
 
 All rows that move are compressed blobs: one for each batch and bucket on the way out, one for each bucket and group of
 documents on the way back. A group has about a batch of text, and both times its documents come by the same exchange.
-Splitters and frequent anchors are found in a bounded sample; they only deal out work and never change results.
+Splitters, frequent anchors and frequent windows are found in a bounded sample; they only deal out work and never change
+results.
 """
 
 from __future__ import annotations
@@ -36,14 +38,14 @@ from pyspark.sql import functions as F
 BATCH, BUCKET = 2 << 20, 1 << 20
 #: Bytes of text that a bucket of anchors alone stands for.
 ANCHORS = 16 << 20
-#: Ranges at most; with more buckets than that, each range has some, by the anchor's hash. Parts of a range's frequent anchors.
+#: Ranges at most; with more buckets than that, each range has some, by the anchor's hash. Parts of a range's frequent windows.
 RANGES, PARTS = 4096, 64
 #: Bytes of strings, and places, that a bucket holds before they are settled.
-HELD, PLACES = 32 << 20, 4 << 20
+HELD, PLACES = 4 << 20, 4 << 20
 #: Rows of the sample, and bytes of its longest text.
 SAMPLE, SAMPLE_TEXT = 2000, 1 << 16
-#: Places in the sample of an anchor that is frequent, at least.
-OFTEN = 16
+#: An anchor or window is frequent if the sample has it more often than this; so many windows are held to be frequent at most.
+OFTEN, HOT = 16, 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LOW = 24
 
@@ -60,6 +62,7 @@ class Plan:
     groups: int = 1
     splitters: tuple[int, ...] | None = None
     frequent: tuple[int, ...] = ()
+    hot: tuple[int, ...] = ()
     batch: int = field(default_factory=lambda: BATCH)
     held: int = HELD
     places: int = PLACES
@@ -253,7 +256,7 @@ class Cutter:
     def __init__(self, plan: Plan) -> None:
         self.plan = plan
         self.splitters = None if plan.splitters is None else np.array(plan.splitters, np.uint64)
-        self.frequent = np.array(sorted(plan.frequent), np.uint64)
+        self.frequent, self.hot = np.array(sorted(plan.frequent), np.uint64), np.array(sorted(plan.hot), np.uint64)
 
     def segments(self, key: int, text_hash: int, text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
         """(id, text hash, first token, bytes) of a document, in overlapping parts where it is long."""
@@ -344,8 +347,14 @@ class Cutter:
             return
         bucket = self.bucket(buf, tokens, anchor, h)
         if len(self.frequent) and (often := np.isin(h, self.frequent)).any():
+            run, place = gathered(np.where(often, count, 1))
+            head = head[run] + place
+            doc, often = doc[run], often[run]
+            count, anchor = np.where(often, 1, count[run]), anchor[run]
+            own = mixed(span_hash(pre, *tokens.spans(head, plan.n)))
+            bucket = np.where(often, self.bucket(buf, tokens, head, own), bucket[run])
             part = (mixed(ids[doc].view(np.uint64)) % np.uint64(PARTS)).astype(np.int64)
-            bucket = np.where(often, plan.buckets + bucket * PARTS + part, bucket)
+            bucket = np.where(often & np.isin(own, self.hot), plan.buckets + bucket * PARTS + part, bucket)
         s, e = tokens.spans(head, count + plan.n - 1)
         content = span_hash(pre, s, e)
         order = np.lexsort((ids[doc], content))
@@ -515,31 +524,37 @@ def later_windows(rows: Rows, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
 
 
 def plan_for(docs: DataFrame, n_rows: int, n_bytes: int, words: bool, n: int, m: int, ranged: bool) -> Plan:
-    """Buckets by the bytes of all texts; splitters and frequent anchors by a sample of about SAMPLE rows."""
+    """Buckets by the bytes of all texts; splitters, frequent anchors and frequent windows by a sample of about SAMPLE rows."""
     buckets = max(1, -(-n_bytes // BUCKET))
     ranges = min(buckets, RANGES)
     buckets = -(-buckets // ranges) * ranges
     every = max(1, n_rows // SAMPLE)
     sample = docs.filter((F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(every)) == 0) & F.col("_bytes").between(n, SAMPLE_TEXT)).select("_id", "_text").limit(SAMPLE)
-    cutter, lead, seen = Cutter(Plan(words, n, m)), [], []
-    waiting: list = []
-    size = 0
-    for row in [*sample.toLocalIterator(), None]:
-        if row is not None:
-            waiting += cutter.segments(row[0], 0, row[1].encode())
-            size += len(waiting[-1][3])
-        if waiting and (row is None or size > BATCH):
-            buf, _, tokens, _, (_, _, _, anchor, h) = cutter.anchors(waiting)
-            seen.append(h)
-            lead.append(leading(buf, tokens.spans(anchor, 1)[0]))
-            waiting, size = [], 0
+    cutter, lead, seen, batches, size = Cutter(Plan(words, n, m)), [], [], [[]], 0
+    for row in sample.toLocalIterator():
+        if size > BATCH:
+            batches, size = [*batches, []], 0
+        batches[-1] += cutter.segments(row[0], 0, row[1].encode())
+        size += len(row[1])
+    for batch in filter(None, batches):
+        buf, _, tokens, _, (_, _, _, anchor, h) = cutter.anchors(batch)
+        seen.append(h)
+        lead.append(leading(buf, tokens.spans(anchor, 1)[0]))
     hashes, leads = np.concatenate([*seen, np.zeros(0, np.uint64)]), np.sort(np.concatenate([*lead, np.zeros(0, np.uint64)]))
     values, counts = np.unique(hashes, return_counts=True)
     frequent = values[counts > max(OFTEN, 2 * len(hashes) // buckets)]
+    own = []
+    for batch in filter(None, batches if len(frequent) else []):
+        _, pre, tokens, _, (_, head, count, _, h) = cutter.anchors(batch)
+        often = np.isin(h, frequent)
+        run, place = gathered(count[often])
+        own.append(mixed(span_hash(pre, *tokens.spans(head[often][run] + place, n))))
+    windows, counts = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
+    hot = windows[counts > OFTEN][np.argsort(-counts[counts > OFTEN], kind="stable")[:HOT]]
     splitters = None
     if ranged:
         splitters = tuple(leads[np.arange(1, ranges) * len(leads) // ranges].tolist()) if len(leads) else ()
-    return Plan(words, n, m, int(buckets), max(1, -(-n_bytes // ANCHORS)), prime(max(1, -(-n_bytes // BATCH))), splitters, tuple(frequent.tolist()), BATCH, HELD, PLACES)
+    return Plan(words, n, m, int(buckets), max(1, -(-n_bytes // ANCHORS)), prime(max(1, -(-n_bytes // BATCH))), splitters, tuple(frequent.tolist()), tuple(hot.tolist()), BATCH, HELD, PLACES)
 
 
 def prime(n: int) -> int:
@@ -666,7 +681,7 @@ def with_repeats(docs: DataFrame, id_col: str, text_col: str, words: bool, n: in
         return answers(bucketwise(batches))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Compares the parts of frequent anchors (with negative numbers, which come first); all else passes."""
+        """Compares the parts of frequent windows (with negative numbers, which come first); all else passes."""
         batches, through = iter(batches), []
 
         def parts() -> Iterator[pa.RecordBatch]:
@@ -696,7 +711,7 @@ def with_repeats(docs: DataFrame, id_col: str, text_col: str, words: bool, n: in
     grouped = base.select(F.pmod(F.col("_id").bitwiseXOR(F.col("_t")), F.lit(plan.groups)).alias("_b"), *base.drop("_bytes").columns).groupBy("_b")
     shared = dealt(base.filter(F.col("_bytes") >= n).select("_id", "_t", "_text").mapInArrow(place, "bucket long, blob binary"), share)
     found = dealt(grouped.cogroup(shared.groupBy("_b")).applyInArrow(cut_up, "bucket long, blob binary"), judge)
-    if plan.frequent:
+    if plan.hot:
         found = found.repartition("_b").sortWithinPartitions("_b").mapInArrow(across, told_kind)
     out = grouped.cogroup(found.groupBy("_b")).applyInArrow(finished, f"_id long, {copies[0]}{schema}")
     if repeated:

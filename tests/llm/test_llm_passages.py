@@ -1,4 +1,4 @@
-"""Passage dedup over many buckets, with frequent anchors in parts, buckets settled again and again, ids null or repeated, and long texts."""
+"""Passage dedup over many buckets, with frequent anchors, frequent windows in parts, buckets settled again and again, ids null or repeated, and long texts."""
 
 import random
 import re
@@ -65,7 +65,7 @@ def test_suffixes_in_many_ranges(spark, small, many):
     want = Counter((r[0], len(t), sum(g), len(re.findall(b"\1+", bytes(g))), bytes(c for c, x in zip(t, g, strict=True) if not x)) for r, t, g in brute(many, 50, lambda t: (t or "").encode()))
     assert got == want and sum(n[2] for n in want) > 50_000
     plan = small[0]
-    assert len(plan.splitters) == 9 and plan.buckets > 20 and plan.buckets % 10 == 0 and plan.wide > 5 and len(plan.frequent) > 5
+    assert len(plan.splitters) == 9 and plan.buckets > 20 and plan.buckets % 10 == 0 and plan.wide > 5 and len(plan.frequent) > 5 and len(plan.hot) > 100
 
 
 def test_super_kmers_in_many_buckets(spark, small, many):
@@ -73,7 +73,7 @@ def test_super_kmers_in_many_buckets(spark, small, many):
     got = Counter(map(tuple, windows.substring_dedup(df).select("doc_id", "n_words", "n_removed", "kept").collect()))
     want = Counter((r[0], len(w), sum(g), " ".join(x for x, y in zip(w, g, strict=True) if not y)) for r, w, g in brute(many, 13, lambda t: WORDS.findall(t or "")))
     assert got == want and sum(n[2] for n in want) > 5_000
-    assert small[0].buckets > 20 and len(small[0].frequent) > 5
+    assert small[0].buckets > 20 and len(small[0].frequent) > 5 and len(small[0].hot) > 20
 
 
 def test_texts_beyond_a_batch(spark):
