@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +17,24 @@ def hamming_bands(code: Column, distance: int = 2) -> Column:
     return F.array(*[F.struct(F.lit(n).alias("band"), code.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for n, m in enumerate(masks)])
 
 
-def hamming_pairs(df: DataFrame, key: str, code: str, distance: int = 2, same: Sequence[str] = ()) -> DataFrame:
-    """(a, b, distance): pairs of keys a < b within the distance, and equal in the columns of ``same``; each pair once.
+def hamming_pairs(df: DataFrame, key: str, code: str, distance: int = 2, same: Sequence[str] = (), other: str | None = None) -> DataFrame:
+    """(a, b, distance): pairs of keys a < b within the distance, equal in the columns of ``same``, not equal in ``other``; each pair once.
 
-    An equality join on bands, so that its cost follows the bands' sharing and not the square of the rows.
+    An equality join on bands, so that its cost follows the bands' sharing and not the square of the rows. Give it
+    each code once where copies share their fate: distinct_codes().
     """
-    rows = df.select(F.col(key).alias("k"), F.col(code).alias("c"), *same, F.explode(hamming_bands(F.col(code), distance)).alias("b"))
-    left = rows.select(F.col("k").alias("a"), F.col("c").alias("ca"), *same, "b.band", "b.bits")
-    right = rows.select(F.col("k").alias("b"), F.col("c").alias("cb"), *same, "b.band", "b.bits")
+    kept = [*same, *([other] if other else [])]
+    rows = df.select(F.col(key).alias("k"), F.col(code).alias("c"), *kept, F.explode(hamming_bands(F.col(code), distance)).alias("b"))
+    left = rows.select(F.col("k").alias("a"), F.col("c").alias("ca"), *same, *([F.col(other).alias("oa")] if other else []), "b.band", "b.bits")
+    right = rows.select(F.col("k").alias("b"), F.col("c").alias("cb"), *same, *([F.col(other).alias("ob")] if other else []), "b.band", "b.bits")
     apart = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))
-    return left.join(right, [*same, "band", "bits"]).filter((F.col("a") < F.col("b")) & (apart <= distance)).select("a", "b", apart.cast("int").alias("distance")).distinct()
+    met = left.join(right, [*same, "band", "bits"]).filter((F.col("a") < F.col("b")) & (apart <= distance))
+    return (met.filter("oa <> ob") if other else met).select("a", "b", apart.cast("int").alias("distance")).distinct()
+
+
+def distinct_codes(df: DataFrame, key: str, code: str, *same: str) -> DataFrame:
+    """One row for each code (and ``same``), with its smallest key: copies have the same neighbours, and go if they aren't the first."""
+    return df.groupBy(*same, code).agg(F.min(key).alias(key))
 
 
 def greedy_keep(items: DataFrame, pairs: DataFrame, key: str = "k") -> DataFrame:
@@ -45,20 +55,47 @@ def greedy_keep(items: DataFrame, pairs: DataFrame, key: str = "k") -> DataFrame
             return state.filter("s = 1").select(F.col("k").alias(key))
 
 
-def knn_mean_distance(items: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 3) -> DataFrame:
-    """(key, mean_distance): the mean Euclidean distance of each item to its k nearest rows of a bounded reference set."""
-    ref = reference.select(F.col(key).alias("_rk"), F.col(vector).alias("_rv"))
-    squares = F.aggregate(F.zip_with(F.col(vector), F.col("_rv"), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda acc, d: acc + d)
-    pairs = items.join(ref, F.col(key) != F.col("_rk")).select(key, F.sqrt(squares).alias("_d"), "_rk")
-    near = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_d", "_rk"))).filter(F.col("_n") <= k)
-    return near.groupBy(key).agg(F.avg("_d").alias("mean_distance"))
+def knn_mean_distance(items: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 3, block: int = 4096) -> DataFrame:
+    """(key, mean_distance): the mean Euclidean distance of each item to its k nearest rows of the reference, itself left out.
+
+    Both sides are dealt into blocks of about ``block`` rows. Each two blocks meet in one task as a matrix product, of
+    which each item's k nearest leave; the nearest of all blocks follow from these. Null vectors are near to nothing.
+    """
+    own = lambda df: df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.xxhash64(key).alias("h"))
+    left, right = own(items), own(reference)
+    blocks = [max(1, -(-df.count() // block)) for df in (left, right)]
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    here = left.select("id", "v", F.pmod("h", F.lit(blocks[0])).cast("int").alias("i"), numbers(blocks[1]).alias("j"))
+    there = right.select("id", "v", F.pmod("h", F.lit(blocks[1])).cast("int").alias("j"), numbers(blocks[0]).alias("i"))
+
+    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
+        found = []
+        if len(ids) and len(others):
+            x, y = (np.stack(t.column("v").to_pandas().to_numpy()) for t in (a, b))
+            square = (y * y).sum(axis=1)
+            for at in range(0, len(x), 512):
+                part = x[at : at + 512]
+                d = square - 2 * part @ y.T
+                d[ids[at : at + 512, None] == others] = np.inf
+                near = np.argpartition(d, min(k, len(y)) - 1, axis=1)[:, :k]
+                exact = np.sqrt(((part[:, None, :] - y[near]) ** 2).sum(axis=2))
+                exact[np.isinf(np.take_along_axis(d, near, axis=1))] = np.nan
+                found += [row[~np.isnan(row)] for row in exact]
+        return pa.table({"id": pa.array(ids if found else [], pa.int64()), "d": pa.array(found, pa.list_(pa.float64()))})
+
+    met = here.groupBy("i", "j").cogroup(there.groupBy("i", "j")).applyInArrow(nearest, "id long, d array<double>")
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("d"))), 1, k)
+    return met.groupBy("id").agg(best.alias("d")).filter(F.size("d") > 0).select(F.col("id").alias(key), (F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d")).alias("mean_distance"))
 
 
 def suffix_match(left: DataFrame, right: DataFrame, name: str, target: str, order: str) -> DataFrame:
     """Each left row with the first right row (by ``order``) whose target equals its name or else is a suffix of it.
 
-    Suffixes are found by equality too: every suffix of a name that is as long as some target is looked up.
+    Suffixes are found by equality too: every suffix of a name that is as long as some target is looked up, once for all
+    rows that share a target.
     """
+    right = right.groupBy(target).agg(F.min(order).alias(order))
     lengths = [r[0] for r in right.select(F.char_length(target)).distinct().collect()]
     ends = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.char_length(name)), lambda n: F.right(F.col(name), n))
     tried = left.withColumn("_end", F.explode_outer(F.array_distinct(ends)))

@@ -233,7 +233,7 @@ def met_pointing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT vec_id, embedding FROM embeddings WHERE label < 8 AND vec_id % 5 = 0), d AS (
+    """WITH r AS (SELECT vec_id, embedding FROM embeddings WHERE label < 8), d AS (
   SELECT e.vec_id, e.label, r.vec_id AS rid, sqrt(list_sum(list_transform(range(1, 65), lambda i: (e.embedding[i]::double - r.embedding[i]::double) * (e.embedding[i]::double - r.embedding[i]::double)))) AS d
   FROM embeddings e JOIN r ON e.vec_id <> r.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, rid) AS k FROM d), s AS (SELECT vec_id, (min(label) >= 8)::int AS y, round(avg(d), 6) AS s FROM k WHERE k <= 3 GROUP BY vec_id)
 SELECT round(sum(CASE WHEN a.s > b.s THEN 1.0::double WHEN a.s = b.s THEN 0.5::double ELSE 0.0::double END) / count(*), 4) AS auroc FROM s a JOIN s b ON a.y = 1 AND b.y = 0"""
