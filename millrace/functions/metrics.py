@@ -1,12 +1,14 @@
-"""Metrics from sufficient statistics: sums combine map-side, and only matrices of classes and lists of distinct scores are windowed."""
+"""Metrics from sufficient statistics: sums combine map-side, and distinct scores are dealt by range."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import running
+
 EPS = 1e-7
 
 
@@ -43,22 +45,22 @@ def per_class(matrix: DataFrame) -> DataFrame:
 
 
 def roc(df: DataFrame, y: str, score: str, *keys: str) -> DataFrame:
-    """(keys, threshold, tp, fp, p, n): cumulated counts at each distinct score from above; ties are one point.
-
-    Counts by score combine before the window, which sees distinct scores only.
-    """
+    """(keys, threshold, tp, fp, p, n): cumulated counts at each distinct score from above; ties are one point."""
     at = df.groupBy(*keys, F.col(score).alias("threshold")).agg(F.sum(F.col(y)).cast("long").alias("_p"), F.count("*").alias("_n"))
-    whole, above = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    tp, fp = F.sum("_p").over(above), F.sum(F.col("_n") - F.col("_p")).over(above)
-    return at.select(*keys, "threshold", tp.alias("tp"), fp.alias("fp"), F.sum("_p").over(whole).alias("p"), F.sum(F.col("_n") - F.col("_p")).over(whole).alias("n"))
+    points = running(at, "threshold", {"tp": F.col("_p"), "fp": F.col("_n") - F.col("_p")}, *keys, descending=True)
+    total = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.coalesce(F.sum(F.col(y)), F.lit(0)).cast("long").alias("p"), (F.count("*") - F.coalesce(F.sum(F.col(y)), F.lit(0))).cast("long").alias("n"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    joined = points.join(total, same) if keys else points.crossJoin(F.broadcast(total))  # one row
+    return joined.select(*keys, "threshold", "tp", "fp", "p", "n")
 
 
 def auc(df: DataFrame, y: str, score: str, *keys: str) -> DataFrame:
     """(keys, auc): the share of pairs in which the positive scores higher, ties by half; null with a class missing."""
     at = df.groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(F.col(y)).cast("long").alias("_p"), F.count("*").alias("_n"))
-    below = F.coalesce(F.sum(F.col("_n") - F.col("_p")).over(Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = F.col("_p") * (below + (F.col("_n") - F.col("_p")) / 2)
-    sums = at.select(*keys, won.alias("_w"), "_p", (F.col("_n") - F.col("_p")).alias("_q")).groupBy(*keys).agg(F.sum("_w").alias("_w"), (F.sum("_p").cast("double") * F.sum("_q")).alias("_pairs"))
+    q = F.col("_n") - F.col("_p")
+    upto = running(at.withColumn("_q", q), "_s", {"_upto": F.col("_q")}, *keys)
+    won = F.col("_p") * (F.col("_upto") - F.col("_q") / 2)
+    sums = upto.groupBy(*keys).agg(F.sum(won).alias("_w"), (F.sum("_p").cast("double") * F.sum("_q")).alias("_pairs"))
     return sums.select(*keys, F.try_divide("_w", "_pairs").alias("auc"))
 
 

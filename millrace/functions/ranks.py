@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def average_ranks(value: str, *keys: str) -> Column:
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
+from ..operators.ranking import value_ranks
 
 
 def spearman(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
-    """(keys, n, rho): the correlation of average ranks.
-
-    Distinct values are counted first and their ranks follow from running counts, so the windows see distinct values only.
-    """
-
-    def ranks(value: str, name: str) -> DataFrame:
-        counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-        upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(value))
-        return counts.select(*keys, value, (upto - (F.col("_c") - 1) / 2).alias(name))
-
+    """(keys, n, rho): the correlation of average ranks, which are made for distinct values and meet their rows again."""
+    ranks = lambda value, name: value_ranks(df, value, *keys).select(*keys, value, F.col("average_rank").alias(name))
     both = df.select(*keys, a, b).join(ranks(a, "_ra"), [*keys, a]).join(ranks(b, "_rb"), [*keys, b])
     return both.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("rho"))

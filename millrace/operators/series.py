@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 
 def after_warm_up(df: DataFrame, key: str, order: Sequence[str], skip: int) -> DataFrame:
-    """Rows of each key but the first ``skip`` in order."""
+    """Rows of each key but the first ``skip`` in the order of columns that no two rows share.
+
+    Spark keeps ``skip`` rows of a key for each task before it deals them; the others only meet the last of these.
+    """
     k = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("_k", k).filter(F.col("_k") > skip).drop("_k")
+    first = df.select(key, *order).withColumn("_k", k).filter(F.col("_k") <= skip)
+    last = first.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*order)).alias("_last"))
+    return df.join(last, F.col(key).eqNullSafe(F.col("_key"))).filter(F.struct(*order) > F.col("_last")).select(*df.columns)
 
 
 def running_best(df: DataFrame, run: str, epoch: str, metric: str, start: float) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import greedy_keep, hamming_pairs
+from ..operators.joins import distinct_codes, greedy_keep, hamming_pairs
 from ..plans.relations import table
 from ..registry import query
+from ..session import cut
 
-#: Eleven signs of a vector at every sixth bit stand for its perceptual hash.
-CODES = "codes AS (SELECT vec_id, label::int AS label, list_sum(list_transform(range(0, 11), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::hugeint << (6 * i::int)) ELSE 0 END))::bigint AS code FROM embeddings)"
+#: The signs of a vector's 64 components stand for its perceptual hash.
+CODES = "codes AS (SELECT vec_id, label::int AS label, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::hugeint << i::int) ELSE 0::hugeint END))::hugeint AS code FROM embeddings)"
 PAIRS = "pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM codes a JOIN codes b ON a.vec_id < b.vec_id AND a.label {op} b.label AND bit_count(xor(a.code, b.code)) <= 2)"
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = [F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1 << 6 * i)).otherwise(F.lit(0)).cast("long") for i in range(11)]
+    bits = [F.when(F.get("embedding", F.lit(i)) > 0, F.lit((1 << i) - (1 << 64) * (i == 63))).otherwise(F.lit(0)).cast("long") for i in range(64)]
     code = bits[0]
     for b in bits[1:]:
         code = code.bitwiseOR(b)
@@ -50,13 +51,13 @@ SELECT unnest(kept) AS vec_id FROM (SELECT kept FROM keep ORDER BY i DESC LIMIT
 )
 def join_hamming_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = _codes(spark, sf_dir)
-    return greedy_keep(codes, hamming_pairs(codes, "vec_id", "code", 2, ["label"]), "vec_id")
+    first = cut(distinct_codes(codes, "vec_id", "code", "label"))
+    return greedy_keep(first, hamming_pairs(first, "vec_id", "code", 2, ["label"]), "vec_id")
 
 
 @query("WITH " + CODES + ", " + PAIRS.format(op="<>") + " SELECT vec_id FROM codes WHERE vec_id NOT IN (SELECT a FROM pairs UNION ALL SELECT b FROM pairs)")
 def join_hamming_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = _codes(spark, sf_dir)
-    labels = codes.select("vec_id", "label")
-    near = hamming_pairs(codes, "vec_id", "code", 2)
-    across = near.join(labels.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b").filter("la <> lb")
-    return labels.select("vec_id").join(across.select(F.explode(F.array("a", "b")).alias("vec_id")), "vec_id", "left_anti")
+    first = cut(distinct_codes(codes, "vec_id", "code", "label"))
+    across = hamming_pairs(first, "vec_id", "code", 2, other="label").select(F.explode(F.array("a", "b")).alias("vec_id")).distinct()
+    return codes.join(first.join(across, "vec_id").select("label", "code"), ["label", "code"], "left_anti").select("vec_id")

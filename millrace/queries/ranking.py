@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranking import average_rank, first_max, gate_then_tiebreak, gated, min_max
+from ..operators.ranking import extremes, first_max, gate_then_tiebreak, gated, min_max, value_ranks
 from ..plans.relations import REPORT, VARIANTS, report, table, variants, with_
 from ..registry import query
 
@@ -13,12 +13,13 @@ from ..registry import query
 @query(with_(VARIANTS) + "SELECT variant, n % 3 AS component, rank() OVER (PARTITION BY n % 3 ORDER BY recall DESC) AS rank FROM variants")
 def win_rank_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = variants(spark, sf_dir).withColumn("component", F.col("n") % 3)
-    return v.select("variant", "component", F.rank().over(Window.partitionBy("component").orderBy(F.desc("recall"))).cast("long").alias("rank"))
+    return v.join(value_ranks(v, "recall", "component", descending=True), ["component", "recall"]).select("variant", "component", F.col("min_rank").cast("long").alias("rank"))
 
 
 @query(with_(VARIANTS) + "SELECT variant, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0::double AS avg_rank FROM variants")
 def win_rank_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants(spark, sf_dir).select("variant", average_rank(F.col("n")).cast("double").alias("avg_rank"))
+    v = variants(spark, sf_dir).select("variant", F.col("n").alias("rows"))
+    return v.join(value_ranks(v, "rows"), "rows").select("variant", F.col("average_rank").cast("double").alias("avg_rank"))
 
 
 @query(with_(VARIANTS) + "SELECT variant, dice FROM variants ORDER BY dice DESC, variant LIMIT 1")
@@ -52,8 +53,8 @@ def sel_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT variant, score FROM s ORDER BY score DESC, variant LIMIT 1"""
 )
 def sel_relative_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gated(variants(spark, sf_dir), F.col("recall") >= 0.66)
-    speed = F.min("latency_ms").over(Window.partitionBy()) / F.col("latency_ms")
+    g = extremes(gated(variants(spark, sf_dir), F.col("recall") >= 0.66), "latency_ms")
+    speed = F.col("_min_latency_ms") / F.col("latency_ms")
     return first_max(g.select("variant", F.round(F.lit(0.6) * F.col("specificity") + F.lit(0.4) * speed, 6).alias("score")), F.col("score"), "variant")
 
 
@@ -69,8 +70,8 @@ def sel_fixed_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT variant, score FROM s ORDER BY score DESC, variant LIMIT 1"""
 )
 def sel_minmax_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = F.lit(0.7) * F.col("recall") + F.lit(0.3) * min_max(F.col("latency_ms"), invert=True)
-    return first_max(variants(spark, sf_dir).select("variant", F.round(score, 6).alias("score")), F.col("score"), "variant")
+    score = F.lit(0.7) * F.col("recall") + F.lit(0.3) * min_max("latency_ms", invert=True)
+    return first_max(extremes(variants(spark, sf_dir), "latency_ms").select("variant", F.round(score, 6).alias("score")), F.col("score"), "variant")
 
 
 
@@ -124,8 +125,9 @@ def sel_report_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(1 - (latency_ms - min(latency_ms) OVER ()) / nullif(max(latency_ms) OVER () - min(latency_ms) OVER (), 0), 6) AS speed_norm, 0.5::double AS flat_norm FROM variants"""
 )
 def win_minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants(spark, sf_dir).select(
-        "variant", F.round(min_max(F.col("recall")), 6).alias("recall_norm"), F.round(min_max(F.col("latency_ms"), invert=True), 6).alias("speed_norm"), min_max(F.lit(1.0)).alias("flat_norm")
+    v = variants(spark, sf_dir).withColumn("flat", F.lit(1.0))
+    return extremes(v, "recall", "latency_ms", "flat").select(
+        "variant", F.round(min_max("recall"), 6).alias("recall_norm"), F.round(min_max("latency_ms", invert=True), 6).alias("speed_norm"), min_max("flat").alias("flat_norm")
     )
 
 

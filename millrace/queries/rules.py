@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.brackets import COVERAGE_WEIGHTS, SEVERITY_GRADES, bracket_case, bracket_sql
+from ..operators.brackets import COVERAGE_WEIGHTS, SEVERITY_GRADES, bracket_case, bracket_sql, severity_grade
 from ..operators.rules import Rule, all_flags, first_failure, ladder
 from ..plans.relations import REPORT, report, table, with_
 from ..registry import query
@@ -42,26 +42,40 @@ def rule_validate_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_(REPORT)
-    + """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN coverage < 0.02::double THEN 'low_coverage' WHEN mode_a = 0 THEN 'no_foreground' WHEN coverage >= 0.97::double AND conf < 0.80::double THEN 'full_frame'
-    WHEN conf < 0.65::double THEN 'low_conf' WHEN mode_b < 1 THEN 'aspect' ELSE 'ok' END AS verdict FROM report"""
+    + """, m AS (SELECT *, l_linenumber % 2 = 0 AS boxed, (l_partkey % 100 + 1) / 100.0::double AS box, 1 + (l_suppkey % 8) / 10.0::double AS box_aspect, 0.9::double + (l_partkey % 7) / 20.0::double AS aspect FROM report),
+  c AS (SELECT *, CASE WHEN boxed AND box < 0.70::double THEN coverage / 50 / box ELSE coverage END AS cov FROM m)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN cov < 0.02::double THEN 'coverage_low' WHEN mode_a = 0 THEN 'no_foreground' WHEN cov >= 0.97::double AND conf < 0.80::double THEN 'coverage_high_low_conf'
+    WHEN cov >= 0.97::double THEN 'ok_high_coverage' WHEN conf < 0.65::double THEN 'confidence_low' WHEN aspect < 1.0::double AND (NOT boxed OR (box_aspect >= 1.15::double AND box < 0.70::double)) THEN 'aspect_low' ELSE 'passed' END AS verdict FROM c"""
 )
 def rule_qa_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cov, conf = F.col("coverage"), F.col("conf")
-    rules = [Rule("low_coverage", cov < 0.02), Rule("no_foreground", F.col("mode_a") == 0), Rule("full_frame", (cov >= 0.97) & (conf < 0.80)), Rule("low_conf", conf < 0.65), Rule("aspect", F.col("mode_b") < 1)]
-    return report(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(first_failure(rules), F.lit("ok")).alias("verdict"))
+    # every other item has a box, whose share of the image and aspect follow from its keys
+    boxed, box, box_aspect = F.col("l_linenumber") % 2 == 0, (F.col("l_partkey") % 100 + 1) / F.lit(100.0), F.lit(1) + (F.col("l_suppkey") % 8) / F.lit(10.0)
+    aspect, conf = F.lit(0.9) + (F.col("l_partkey") % 7) / F.lit(20.0), F.col("conf")
+    # coverage of the box, unless that is most of the image
+    cov = F.when(boxed & (box < 0.70), F.col("coverage") / 50 / box).otherwise(F.col("coverage"))
+    rules = [
+        Rule("coverage_low", cov < 0.02),
+        Rule("no_foreground", F.col("mode_a") == 0),
+        Rule("coverage_high_low_conf", (cov >= 0.97) & (conf < 0.80)),
+        Rule("ok_high_coverage", cov >= 0.97),
+        Rule("confidence_low", conf < 0.65),
+        Rule("aspect_low", (aspect < 1.0) & (~boxed | ((box_aspect >= 1.15) & (box < 0.70)))),
+    ]
+    return report(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(first_failure(rules), F.lit("passed")).alias("verdict"))
 
 
 @query(
     with_(REPORT)
     + """, best AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY conf DESC, l_linenumber, l_partkey, l_suppkey, coverage) AS k FROM report)
-SELECT l_orderkey, conf, coverage FROM best WHERE k = 1 AND NOT (conf < 0.55::double OR (coverage >= 0.70::double AND conf < 0.70::double) OR coverage > 0.98::double)"""
+SELECT l_orderkey, conf, coverage FROM best WHERE k = 1 AND NOT (conf - 0.4::double < 0.35::double OR l_partkey % 200 < 16 OR l_suppkey % 150 < 16 OR (coverage >= 0.70::double AND conf - 0.4::double < 0.50::double) OR coverage > 0.98::double)"""
 )
 def rule_box_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.setops import first_of_each
 
     best = first_of_each(report(spark, sf_dir), ["l_orderkey"], F.desc("conf"), "l_linenumber", "l_partkey", "l_suppkey", "coverage")
-    conf, cov = F.col("conf"), F.col("coverage")
-    return best.filter(~((conf < 0.55) | ((cov >= 0.70) & (conf < 0.70)) | (cov > 0.98))).select("l_orderkey", "conf", "coverage")
+    # a detector is less sure than a mask by 0.4; sides of boxes follow from the keys
+    conf, cov, wide, high = F.col("conf") - 0.4, F.col("coverage"), F.col("l_partkey") % 200, F.col("l_suppkey") % 150
+    return best.filter(~((conf < 0.35) | (wide < 16) | (high < 16) | ((cov >= 0.70) & (conf < 0.50)) | (cov > 0.98))).select("l_orderkey", "conf", "coverage")
 
 
 @query(
@@ -82,12 +96,13 @@ def rule_autoflag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_(REPORT)
-    + """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN coverage = 0 THEN 0.0::double WHEN mode_a < 10 THEN 0.0::double WHEN mode_a < 40 THEN mode_a * 0.3::double WHEN mode_a <= 80 THEN mode_a ELSE 0.0::double END AS severity
+    + """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN coverage = 0 THEN 0.0::double WHEN mode_b / 500 < 0.01::double THEN 0.0::double WHEN mode_b / 500 < 0.04::double THEN mode_b * 0.3::double WHEN mode_b / 500 > 0.15::double THEN 0.0::double ELSE mode_b END AS severity
 FROM report WHERE category = 'A'"""
 )
 def rule_healthy_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("mode_a")
-    gated = F.when(F.col("coverage") == 0, 0.0).when(s < 10, 0.0).when(s < 40, s * 0.3).when(s <= 80, s).otherwise(0.0)
+    # the symptom's share of the leaf: under 1 % is noise, under 4 % is damped, over 15 % isn't credible
+    s, share = F.col("mode_b"), F.col("mode_b") / 500
+    gated = F.when(F.col("coverage") == 0, 0.0).when(share < 0.01, 0.0).when(share < 0.04, s * 0.3).when(share > 0.15, 0.0).otherwise(s)
     return report(spark, sf_dir).filter("category = 'A'").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", gated.alias("severity"))
 
 
@@ -98,10 +113,10 @@ def rule_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_(REPORT)
-    + f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {bracket_sql('mode_d', SEVERITY_GRADES, 5)} AS grade FROM report WHERE mode_d >= 0"
+    + f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN mode_d < 0 THEN -1 WHEN category = 'A' THEN 0 ELSE {bracket_sql('mode_d', SEVERITY_GRADES, 5)} END AS grade FROM report"
 )
 def rule_severity_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(spark, sf_dir).filter("mode_d >= 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", bracket_case(F.col("mode_d"), SEVERITY_GRADES, 5).alias("grade"))
+    return report(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", severity_grade(F.col("mode_d"), F.col("category"), "A").alias("grade"))
 
 
 @query(

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from millrace.functions import metrics as M
 from millrace.functions.ranks import spearman
-from millrace.operators.brackets import COVERAGE_WEIGHTS, SEVERITY_GRADES, bracket_case, bracket_join
-from millrace.operators.joins import greedy_keep, hamming_pairs, suffix_match
+from millrace.operators.brackets import COVERAGE_WEIGHTS, SEVERITY_GRADES, bracket_case, bracket_join, severity_grade
+from millrace.operators.joins import distinct_codes, greedy_keep, hamming_pairs, knn_mean_distance, suffix_match
 from millrace.operators.keys import number, output_stem
-from millrace.operators.ranking import first_max, gated
+from millrace.operators.ranking import first_max, gated, running
 from millrace.operators.rules import Rule, all_flags, first_failure
 from millrace.operators.sampling import evenly_spaced, split_by_position
-from millrace.operators.series import early_stop
+from millrace.operators.series import after_warm_up, early_stop
 from millrace.operators.setops import ragged_union, upsert
 from millrace.sources import annotations as A
 from millrace.sources import files, sinks
@@ -35,9 +35,15 @@ def test_first_failing_rule_wins(spark):
 
 
 def test_brackets_are_half_open_and_both_forms_agree(spark):
-    df = spark.createDataFrame([(float(v),) for v in (-1, 0, 10, 25, 50, 75, 99.999, 100)], "v double")
-    assert [r[0] for r in df.select(bracket_case(F.col("v"), SEVERITY_GRADES)).collect()] == [None, 1, 2, 3, 4, 5, 5, None]
-    assert [r[0] for r in bracket_join(df, "v", SEVERITY_GRADES, "g").orderBy("v").select("g").collect()] == [None, 1, 2, 3, 4, 5, 5, None]
+    df = spark.createDataFrame([(float(v),) for v in (-1, 0, 10, 25, 50, 75, 99.999, 100, 101, 250)], "v double")
+    # the last bracket ends at 101, and the highest grade holds beyond it
+    want = [None, 1, 2, 3, 4, 5, 5, 5]
+    assert [r[0] for r in df.select(bracket_case(F.col("v"), SEVERITY_GRADES)).collect()] == [*want, None, None]
+    assert [r[0] for r in df.select(bracket_case(F.col("v"), SEVERITY_GRADES, 5)).collect()] == [*want, 5, 5]
+    assert [r[0] for r in bracket_join(df, "v", SEVERITY_GRADES, "g").orderBy("v").select("g").collect()] == [*want, None, None]
+    assert [r[0] for r in bracket_join(df, "v", SEVERITY_GRADES, "g", 5).orderBy("v").select("g").collect()] == [*want, 5, 5]
+    assert [r[0] for r in df.select(severity_grade(F.col("v"), F.lit("MSV"), "HEALTHY")).collect()] == [-1, *want[1:], 5, 5]
+    assert [r[0] for r in df.select(severity_grade(F.col("v"), F.lit("HEALTHY"), "HEALTHY")).collect()] == [-1] + [0] * 9
     cov = spark.createDataFrame([(0.1499,), (0.15,), (0.25,), (0.5,), (1.0,), (None,)], "v double")
     assert [r[0] for r in cov.select(bracket_case(F.col("v"), COVERAGE_WEIGHTS)).collect()] == [None, 0.3, 0.7, 1.0, 1.0, None]
 
@@ -212,3 +218,53 @@ def test_new_files_are_merged_once(spark, tmp_path):
     assert run() == [(1, "a"), (2, "b")]
     spark.createDataFrame([(2, "c", 2), (3, "d", 1)], schema).write.parquet(f"{source}", mode="append")
     assert run() == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_nearest_rows_of_any_block(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(230, 12))
+    v[7] = v[9]
+    df = spark.createDataFrame([(i, x.tolist(), i % 10) for i, x in enumerate(v)] + [(900, None, 1)], "k long, v array<double>, label int")
+    got = {r["k"]: r["mean_distance"] for r in knn_mean_distance(df, df.filter("label < 8"), "k", "v", 3, block=50).collect()}
+    ref = [i for i in range(230) if i % 10 < 8]
+    want = {i: np.sort([np.linalg.norm(v[i] - v[j]) for j in ref if j != i])[:3].mean() for i in range(230)}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    few = {r["k"]: r["mean_distance"] for r in knn_mean_distance(df.filter("k < 3"), df.filter("k < 3"), "k", "v", 5).collect()}
+    assert all(abs(few[i] - np.mean([np.linalg.norm(v[i] - v[j]) for j in range(3) if j != i])) < 1e-6 for i in range(3))
+    assert knn_mean_distance(df, df.limit(0), "k", "v").count() == 0
+
+
+def test_codes_of_other_labels(spark):
+    rows = [(1, 0, "a"), (2, 0, "b"), (3, 1, "a"), (4, 255, "a"), (5, 255, "a"), (6, 0xFFF << 40, "c"), (7, (0xFFF << 40) + 7, "d")]
+    df = spark.createDataFrame(rows, "k long, c long, label string")
+    assert {(r["a"], r["b"]) for r in hamming_pairs(df, "k", "c", other="label").collect()} == {(1, 2), (2, 3)}
+    assert sorted(map(tuple, distinct_codes(df, "k", "c", "label").select("k", "c").collect())) == [(k, c) for k, c, _ in rows if k != 5]
+
+
+@pytest.mark.parametrize("keys", [(), ("g",)])
+def test_running_totals_over_many_partitions(spark, keys):
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 3 == 0 else "x" if i % 3 == 1 else f"g{i % 20}", float(x), int(n)) for i, (x, n) in enumerate(zip(rng.permutation(600), rng.integers(0, 9, 600), strict=True))]
+    df = spark.createDataFrame(rows, "g string, x double, n long").repartition(7)
+    for down in (False, True):
+        got = {r["x"]: r["upto"] for r in running(df, "x", {"upto": F.col("n")}, *keys, descending=down).collect()}
+        want = {x: sum(n for h, y, n in rows if (not keys or h == g) and (y >= x if down else y <= x)) for g, x, _ in rows}
+        assert got == want
+
+
+def test_warm_up_leaves_what_comes_after(spark):
+    df = spark.createDataFrame([("a", i, i * 2) for i in range(30)] + [("b", i, i) for i in range(4)] + [(None, 1, 1), (None, 2, 2)], "k string, t long, v long")
+    got = {tuple(r) for r in after_warm_up(df, "k", ["t", "v"], 4).collect()}
+    assert got == {("a", i, i * 2) for i in range(4, 30)}
+    assert {tuple(r) for r in after_warm_up(df, "k", ["t", "v"], 1).collect()} == {("a", i, i * 2) for i in range(1, 30)} | {("b", i, i) for i in range(1, 4)} | {(None, 2, 2)}
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from millrace.session import shared_folder
+
+    fake = lambda master: N(sparkContext=N(master=master, getCheckpointDir=lambda: None), conf=N(get=lambda *_: None))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(fake(master))
