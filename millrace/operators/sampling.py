@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .keys import hash_order
+from .ranking import running
 
 
 def ranked(df: DataFrame, key: str, seed: int, *strata: str) -> DataFrame:
@@ -77,9 +78,16 @@ def evenly_spaced(df: DataFrame, key: str, n: Column | int, *strata: str) -> Dat
 
 
 def weighted_with_replacement(df: DataFrame, key: str, weight: str, draws: int, seed: int = 42) -> DataFrame:
-    """``draws`` rows by weight, with replacement: each weight's expected count, its fraction settled by a seeded hash."""
-    total = df.agg(F.sum(weight)).first()[0] or 1.0
-    expected = F.col(weight) * (draws / total)
-    uniform = F.conv(F.substring(hash_order(seed, F.col(key)), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    times = (F.floor(expected) + F.when(uniform < expected - F.floor(expected), 1).otherwise(0)).cast("int")
-    return df.withColumn("_times", times).filter("_times > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_i")
+    """``draws`` rows by whole, positive weights, with replacement: each draw is a hashed place on the line of all weights.
+
+    Rows stand on that line in key order. It is cut into as many cells as there are draws; a row meets the draws of the
+    cells that it reaches into, so rows and draws join by equality.
+    """
+    rows = running(df.filter(F.col(weight) > 0), key, {"_to": F.col(weight).cast("long")})
+    total = rows.agg(F.coalesce(F.max("_to"), F.lit(0))).first()[0]
+    cell = lambda place: F.floor(place / F.lit(float(total or 1)) * draws)
+    spread = rows.withColumn("_from", F.col("_to") - F.col(weight)).withColumn("_cell", F.explode(F.sequence(cell(F.col("_from")), cell(F.col("_to")))))
+    uniform = F.conv(F.substring(hash_order(seed, F.col("id")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    drawn = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.floor(uniform * float(total)).alias("_at")).withColumn("_cell", cell(F.col("_at")))
+    met = spread.join(drawn, "_cell").filter((F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_to")))
+    return met.select("draw", *df.columns)

@@ -28,3 +28,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
 def first_of_each(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key in the order given."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")
+
+
+def collated(items: DataFrame, batch: str, item: str, *aggregates: Column) -> DataFrame:
+    """(batch, n, skipped, aggregates): what batches hold without items that are null, and how many of these each skips; batches of nulls alone go."""
+    out = items.groupBy(batch).agg(F.count(item).alias("n"), F.count_if(F.col(item).isNull()).alias("skipped"), *aggregates)
+    return out.filter("n > 0")

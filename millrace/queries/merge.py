@@ -15,6 +15,27 @@ from ..session import shared_folder
 from ..sources.sinks import label_line, numbered_names, updated_setting, write_pseudo_labels
 
 
+@query("SELECT s_suppkey, s_name, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS s_acctbal, NULL::varchar AS note FROM supplier")
+def snk_csv_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written under a declared header, whose last column the rows lack, and read back."""
+    import uuid
+
+    from ..sources import files, sinks
+
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("s_acctbal"))
+    sinks.write_csv(s.withColumn("note", F.lit(None).cast("string")), path, ["s_suppkey", "s_name", "s_acctbal", "note"])
+    return files.csv(spark, path, "s_suppkey long, s_name string, s_acctbal double, note string")
+
+
+@query("SELECT 'customer' AS of, c_custkey AS key, c_acctbal AS balance, NULL::varchar AS name FROM customer UNION ALL SELECT 'nation', n_nationkey, NULL, n_name FROM nation UNION ALL SELECT 'none', NULL, NULL, NULL WHERE false")
+def set_union_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns in the order in which tables first have them, null where one lacks them; an empty table adds its columns alone."""
+    c = table(spark, sf_dir, "customer").select(F.lit("customer").alias("of"), F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"))
+    n = table(spark, sf_dir, "nation").select(F.lit("nation").alias("of"), F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"))
+    return ragged_union(c, n.limit(0), n)
+
+
 @query(
     """SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, NULL::int AS region FROM customer UNION ALL SELECT n_nationkey, n_name, NULL, n_regionkey FROM nation UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier"""
 )

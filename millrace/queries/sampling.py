@@ -82,7 +82,11 @@ def srt_head_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source").withColumn("_k", k).filter("_k <= 30").drop("_k")
 
 
-@query()
+@query(
+    """WITH w AS (SELECT o_orderkey, round(o_totalprice * 100)::bigint AS cents FROM orders), r AS (SELECT *, (sum(cents) OVER (ORDER BY o_orderkey))::bigint AS upto FROM w WHERE cents > 0), t AS (SELECT max(upto) AS total FROM r),
+  d AS (SELECT i AS draw, floor(('0x' || substr(md5('42:' || i::varchar), 1, 12))::bigint::double / 281474976710656.0::double * total::double)::bigint AS place FROM range(1000) x(i), t)
+SELECT draw, o_orderkey, cents FROM d JOIN r ON r.upto - r.cents <= place AND place < r.upto"""
+)
 def smp_weighted_repl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return weighted_with_replacement(orders, "o_orderkey", "o_totalprice", 1000)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return weighted_with_replacement(orders, "o_orderkey", "cents", 1000)

@@ -38,9 +38,9 @@ def src_text_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.text_number(texts, "text", "Total: ([0-9,]+)", "total").select("n_nationkey", "total")
 
 
-@query(with_(REPORT) + "SELECT coalesce((SELECT min(conf) FROM report WHERE conf > 0.7::double AND coverage > 2), 0.65::double) AS threshold")
+@query(with_(REPORT) + "SELECT coalesce((SELECT min(conf) FROM report WHERE conf > 0.7::double AND coverage > 0.5::double), 0.65::double) AS threshold")
 def src_calib_cfg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = report(spark, sf_dir).filter("conf > 0.7 AND coverage > 2")
+    chosen = report(spark, sf_dir).filter("conf > 0.7 AND coverage > 0.5")
     return chosen.agg(F.coalesce(F.min("conf"), F.lit(0.65)).alias("threshold"))
 
 
@@ -59,7 +59,7 @@ def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.csv(spark, _written(s), s.schema)
 
 
-@query()
+@query("SELECT s_name AS stem, s_acctbal AS iou FROM supplier")
 def src_csv_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file that is there, and none of one that isn't."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("stem"), F.col("s_acctbal").cast("double").alias("iou"))
@@ -67,14 +67,34 @@ def src_csv_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.csv_or_empty(spark, there, "stem string, iou double").union(files.csv_or_empty(spark, f"{there}-missing", "stem string, iou double"))
 
 
-@query()
+def _tree(df: DataFrame) -> str:
+    """A tree of files with one folder for each category in the shared folder, from a handful of rows (category, filename, content)."""
+    spark = df.sparkSession
+    root, jvm = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}", spark.sparkContext._jvm
+    for category, filename, content in df.collect():
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{category}/{filename}")
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(content.encode()))
+        out.close()
+    return root
+
+
+def _nations(spark: SparkSession, sf_dir: str, suffix: str = "png") -> DataFrame:
+    """The 25 nations as files in folders of their regions."""
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    return table(spark, sf_dir, "nation").select(named("r", "n_regionkey"), F.concat(named("n", "n_nationkey"), F.lit("." + suffix)), "n_name")
+
+
+@query("SELECT 'r' || n_regionkey::varchar AS category, 'n' || n_nationkey::varchar || '.png' AS filename, strlen(n_name)::bigint AS length FROM nation")
 def src_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.image_tree(spark, sf_dir).select("path", "category", "filename", "length")
+    return files.image_tree(spark, _tree(_nations(spark, sf_dir))).select("category", "filename", "length")
 
 
-@query()
+@query("SELECT 'r' || n_regionkey::varchar AS category, 'n' || n_nationkey::varchar || suffix AS filename, strlen(n_name)::bigint AS length FROM nation CROSS JOIN (VALUES ('.png'), ('.JPG')) s(suffix)")
 def src_multi_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.image_tree(spark, sf_dir, f"{sf_dir}/no_such_folder").select("path", "category", "filename", "length")
+    """Two roots, one that isn't there, and files of another kind, which don't count."""
+    roots = [_tree(_nations(spark, sf_dir, s)) for s in ("png", "JPG", "txt")]
+    return files.image_tree(spark, *roots, f"{roots[0]}-missing").select("category", "filename", "length")
 
 
 @query()
