@@ -41,21 +41,22 @@ def phash(grid: np.ndarray, size: int = 8, factor: int = 4) -> int:
     return code - (1 << 64) if code >> 63 else code
 
 
-def clahe(grid: np.ndarray, clip: float = 2.0, tiles: int = 8, bins: int = 256) -> np.ndarray:
+def clahe(grid: np.ndarray, clip: float = 2.0, tiles: int | tuple[int, int] = 8, bins: int = 256) -> np.ndarray:
     """Equalises a grid of levels 0 to bins - 1 tile by tile, with clipped histograms, and blends the maps of the four nearest tiles."""
     level = np.clip(np.round(grid), 0, bins - 1).astype(int)
-    h, w = (-(-n // tiles) for n in grid.shape)
-    padded = np.pad(level, [(0, h * tiles - grid.shape[0]), (0, w * tiles - grid.shape[1])], mode="symmetric")
-    maps = np.empty((tiles, tiles, bins))
+    tiles = (tiles, tiles) if isinstance(tiles, int) else tiles
+    h, w = (-(-n // t) for n, t in zip(grid.shape, tiles, strict=True))
+    padded = np.pad(level, [(0, h * tiles[0] - grid.shape[0]), (0, w * tiles[1] - grid.shape[1])], mode="symmetric")
+    maps = np.empty((*tiles, bins))
     limit = max(1, int(clip * h * w / bins))
-    for i in range(tiles):
-        for j in range(tiles):
+    for i in range(tiles[0]):
+        for j in range(tiles[1]):
             counts = np.bincount(padded[i * h : (i + 1) * h, j * w : (j + 1) * w].ravel(), minlength=bins)
             over = int(np.maximum(counts - limit, 0).sum())
             maps[i, j] = np.cumsum(np.minimum(counts, limit) + over / bins) * (bins - 1) / (h * w)
-    at = [np.clip((np.arange(n) + 0.5) / t - 0.5, 0, tiles - 1) for n, t in zip(grid.shape, (h, w), strict=True)]
+    at = [np.clip((np.arange(n) + 0.5) / t - 0.5, 0, k - 1) for n, t, k in zip(grid.shape, (h, w), tiles, strict=True)]
     low = [np.floor(a).astype(int) for a in at]
-    high = [np.minimum(a + 1, tiles - 1) for a in low]
+    high = [np.minimum(a + 1, k - 1) for a, k in zip(low, tiles, strict=True)]
     fy, fx = (at[0] - low[0])[:, None], (at[1] - low[1])[None, :]
     of = lambda y, x: maps[y[:, None], x[None, :], level]
     upper = of(low[0], low[1]) * (1 - fx) + of(low[0], high[1]) * fx

@@ -94,3 +94,22 @@ PREDICTIONS = """predictions AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ", ".join(ctes) + "\n"
+
+# Each vector as an 8 x 8 mask (cells above 0), with every cell's boundary weight.
+BOUNDARY = """WITH cells AS (SELECT vec_id, i, embedding[i + 1] > 0 AS inside FROM embeddings, range(64) t(i)),
+weights AS (SELECT a.vec_id, a.i, any_value(a.inside) AS inside, CASE WHEN bool_or(b.inside) THEN greatest(0.1::double, 1 - coalesce(min(sqrt((a.i // 8 - b.i // 8) ** 2 + (a.i % 8 - b.i % 8) ** 2)) FILTER (b.inside <> a.inside), 1e9::double) / 15) ELSE 0.1::double END AS weight
+FROM cells a JOIN cells b USING (vec_id) GROUP BY 1, 2)"""
+
+
+def leaf_images(embeddings: DataFrame, side: int = 32) -> DataFrame:
+    """(vec_id, red, green, blue, prob, category): a round leaf for each vector, with upright streaks whose red follows its numbers."""
+    cells = F.sequence(F.lit(0), F.lit(side * side - 1))
+    middle = (side - 1) / 2
+    row, column = lambda i: F.floor(i / side), lambda i: i % side
+    number = lambda i: F.element_at("embedding", (F.floor(row(i) / 8) * 16 + F.floor(column(i) / 2) + 1).cast("int"))
+    red = F.transform(cells, lambda i: F.least(F.greatest(number(i).cast("double") * 700 + 110, F.lit(0.0)), F.lit(255.0)))
+    level = lambda v: F.transform(cells, lambda i: F.lit(float(v)))
+    away = lambda i: F.sqrt(F.pow(row(i) - middle, F.lit(2)) + F.pow(column(i) - middle, F.lit(2)))
+    prob = F.transform(cells, lambda i: 1 / (1 + F.exp((away(i) - 5 - F.col("vec_id") % 11) / 2)))
+    category = F.element_at(F.array(F.lit("MSV"), F.lit("MLN"), F.lit("HEALTHY")), (F.col("vec_id") % 3 + 1).cast("int"))
+    return embeddings.select("vec_id", red.alias("red"), level(150).alias("green"), level(60).alias("blue"), prob.alias("prob"), category.alias("category"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..plans.relations import PREDICTIONS, REPORT, SCORES, predictions, report, scores, table, with_
+from ..plans.relations import BOUNDARY, PREDICTIONS, REPORT, SCORES, predictions, report, scores, table, with_
 from ..registry import query
 
 DIGITS = list(range(10))
@@ -330,11 +330,16 @@ def met_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, sf_dir).groupBy("category").agg(F.round(F.avg(d), 6).alias("mean_delta"), F.round(F.avg((d > 0).cast("int")), 6).alias("improved_share"))
 
 
-@query()
+@query(
+    BOUNDARY
+    + """, logits AS (SELECT vec_id, i, 10 * embedding[64 - i]::double AS x FROM embeddings, range(64) t(i)) SELECT vec_id, round(avg(weight * (greatest(x, 0) - x * inside::int + ln(1 + exp(-abs(x))))), 6) AS loss FROM logits JOIN weights USING (vec_id, i) GROUP BY 1"""
+)
 def met_boundary_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as 8 x 8 targets; the logits are the same numbers from the end."""
     from ..functions.pixels import boundary_loss
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(boundary_loss("embedding"), 6).alias("loss"))
+    logits = F.transform(F.reverse("embedding"), lambda x: x.cast("double") * 10)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(boundary_loss(logits, "embedding"), 6).alias("loss"))
 
 
 @query()

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.relations import REPORT, VARIANTS, report, table, variants, with_
+from ..plans.relations import BOUNDARY, REPORT, VARIANTS, leaf_images, report, table, variants, with_
 from ..registry import query
 from ..session import shared_folder
 from ..sources import files, sinks
@@ -104,16 +104,33 @@ def udf_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", silhouette("embedding").alias("mask"))
 
 
-@query()
+@query(BOUNDARY + " SELECT vec_id, i AS cell, round(weight, 6) AS weight FROM weights")
 def udf_edge_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.pixels import edge_distance_weight
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", edge_distance_weight("embedding").alias("weights"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(edge_distance_weight("embedding")))
+    return rows.select("vec_id", F.col("pos").cast("long").alias("cell"), F.col("col").alias("weight"))
 
 
 @query()
 def udf_four_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four pseudo-labels of each image, a row each."""
     from ..functions.pixels import four_modes
 
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(four_modes("embedding")).alias("m"))
-    return rows.select("vec_id", "m.mode", "m.severity", "m.symptom")
+    images = leaf_images(table(spark, sf_dir, "embeddings"))
+    return images.select("vec_id", "category", F.explode(four_modes("red", "green", "blue", "prob", "category")).alias("m")).select("vec_id", "category", "m.*")
+
+
+@query(
+    """WITH p AS (SELECT vec_id, [floor(abs(e::double) * 1000)::bigint % 256 FOR e IN embedding] AS v FROM embeddings)
+SELECT vec_id, 8 AS height, 8 AS width, list_sum(v)::bigint AS total, v[CASE WHEN vec_id % 8 IN (0, 4) THEN 1 WHEN vec_id % 8 IN (1, 7) THEN 8 WHEN vec_id % 8 IN (2, 6) THEN 64 ELSE 57 END] AS corner FROM p"""
+)
+def udf_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's levels, stored as a PNG in one of eight orientations and read back: size, sum and upper left of the upright picture."""
+    from ..sources.pictures import decoded, encoded
+
+    levels = F.transform("embedding", lambda e: F.floor(F.abs(e.cast("double")) * 1000) % 256)
+    read = table(spark, sf_dir, "embeddings").select("vec_id", decoded(encoded(levels, F.col("vec_id") % 8 + 1)).alias("p")).select("vec_id", "p.*")
+    at = lambda i: F.conv(F.hex(F.substring("rgb", i, 1)), 16, 10).cast("long")
+    total = F.aggregate(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), F.lit(0).cast("long"), lambda a, i: a + F.conv(F.hex(F.substring("rgb", i * 3 + 1, F.lit(1))), 16, 10).cast("long"))
+    return read.select("vec_id", "height", "width", total.alias("total"), at(1).alias("corner"))
