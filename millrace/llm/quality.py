@@ -15,9 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .labelled import drawn, fold
+
 #: Labelled rows of each class that a model sees at most: the first ones by a hash of the id. Two thirds make the dictionaries, one third the calibration.
 SAMPLE = 2000
 #: Bytes of the longest text in that sample: with SAMPLE, the bound of what the driver holds. Other rows take the places of longer ones.
@@ -81,10 +83,6 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
     return w
 
 
-def fold(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
     """Learns from labelled rows whose crc32(id as text) mod 5 isn't 0, at most the first ``sample`` of each class by a hash of the id.
 
@@ -93,30 +91,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     the sample to others; scores read texts of any length. With under ten rows of a class the model scores by the share
     of label 1 (0.5 without labels).
     """
-    spark = docs.sparkSession
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y in (0, 1)")
-    known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).filter(F.col("_id").isNotNull() & (F.col("_y") == F.col("_z")) & (fold("_id") != 0))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.octet_length("_text").between(1, longest))
-    # ids are drawn without their texts, which alone are large: at most 2 * sample rows are broadcast, and as many texts come back
-    order = known.join(texts.select("_id").distinct(), "_id", "left_semi").withColumn("_h", F.xxhash64(F.lit("sample"), "_id")).select("_id", "_y", "_h")
-    ids = [r for y in (0, 1) for r in order.filter(F.col("_y") == y).orderBy("_h", "_id").limit(sample).collect()]
-    chosen = spark.createDataFrame(ids, order.schema)
-    drawn_texts = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_h", "_y").agg(F.min("_text").alias("_text"))
-    rows = sorted((r["_h"], r["_text"].encode(), r["_y"]) for r in drawn_texts.collect())
-    drawn = {y: [(h, t) for h, t, of in rows if of == y] for y in (0, 1)}
-    if min(map(len, drawn.values())) < 10:
-        share = (len(drawn[1]) + 1) / (len(drawn[0]) + len(drawn[1]) + 2)
+    texts, total = drawn(docs, labels, {0: sample, 1: sample}, longest, id_col, text_col, label_col)
+    if min(map(len, texts.values())) < 10:
+        share = (len(texts[1]) + 1) / (len(texts[0]) + len(texts[1]) + 2)
         return Model(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * 6))
     made = {}
-    for y, texts in drawn.items():
-        some = [t for i, (_, t) in enumerate(texts) if i % 3]
+    for y, own in texts.items():
+        some = [t for i, t in enumerate(own) if i % 3]
         try:
             made[y] = zstandard.train_dictionary(DICTIONARY, some).as_bytes()
         except zstandard.ZstdError:  # too little text to choose from: all of it serves
             made[y] = b"".join(some)[-DICTIONARY:]
     measures = _measurer(made[1], made[0])
-    rest = [(t, y) for y, texts in drawn.items() for i, (_, t) in enumerate(texts) if not i % 3]
-    total = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
+    rest = [(t, y) for y, own in texts.items() for i, t in enumerate(own) if not i % 3]
     x, y = _features(np.array([measures(t) for t, _ in rest])), np.array([v for _, v in rest])
     # the sample holds as many rows of either class as it can: weights give the classes their true shares
     w = _calibrate(x, y, np.where(y == 1, total[1] / (y == 1).sum(), total[0] / (y == 0).sum()))

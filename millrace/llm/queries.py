@@ -75,9 +75,65 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(common.table(spark, sf_dir, "pages").select("page_id", "url"), parse_rules(*URL_RULES)).drop("bad_share")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_vector_groups, op3_quality, op4_simhash, op5_suffix_dedup, op6_matroska, op7_line_dedup, op8_substring_dedup, op9_pack_sequences, op10_url_filters)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .balltree import centroid_clusters
+
+    return centroid_clusters(common.table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import repair_damaged
+
+    return repair_damaged(common.table(spark, sf_dir, "conversations"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_vector_groups, op3_quality, op4_simhash, op5_suffix_dedup, op6_matroska, op7_line_dedup, op8_substring_dedup, op9_pack_sequences, op10_url_filters,
+        op11_centroid_clusters, op12_conversation_repair, op13_toxicity,
+    )
+}
+
+
+def _centroid_sql(clusters: int = 8, rounds: int = 10, dims: int = 64, seed: int = 3) -> str:
+    """Lloyd's rounds in whole numbers, one after another: c0 are the first centroids, a0 the first assignment."""
+    out = f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || CAST(vec_id AS VARCHAR)), v) - 1 AS c, v FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('{seed}:' || CAST(vec_id AS VARCHAR)), v) <= {clusters}
+)"""
+    for k in range(rounds + 1):
+        out += f""", a{k} AS MATERIALIZED (
+  SELECT vec_id, v, min(struct_pack(d := d, c := c)) AS z
+  FROM (SELECT kept.vec_id, kept.v, c{k}.c, CAST(list_sum(list_transform(list_zip(kept.v, c{k}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, c{k})
+  GROUP BY vec_id, v
+)"""
+        if k < rounds:
+            out += f""", c{k + 1} AS MATERIALIZED (
+  SELECT c{k}.c, CASE WHEN m.c IS NULL THEN c{k}.v ELSE m.v END AS v FROM c{k} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+    FROM (SELECT z.c AS c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{k}, range(1, {dims + 1}) AS r(i) GROUP BY z.c, i) GROUP BY c
+  ) m ON m.c = c{k}.c
+)"""
+    return out + f"""
+SELECT vec_id, CAST(z.c AS INTEGER) AS cluster, z.d AS distance, CAST(sum(z.d) OVER (PARTITION BY z.c) AS BIGINT) AS cluster_inertia, CAST(sum(z.d) OVER () AS BIGINT) AS inertia,
+  sha256(list_aggregate(list_transform(c{rounds}.v, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = z.c
+"""
+
 
 SQL = {
+    "op11_centroid_clusters": _centroid_sql(),
     "op7_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(list_zip(range(len(parts)), parts), max_depth := 1) AS z
