@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shared_folder
 
@@ -49,3 +50,26 @@ def whole(docs: DataFrame) -> Column:
 def null_safe_key(column: Column) -> Column:
     """A string that is never null and tells null from every value."""
     return F.coalesce(F.concat(F.lit("v"), column.cast("string")), F.lit("n"))
+
+
+def _holds(kind: T.DataType, what: tuple[type, ...]) -> bool:
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else [kind.keyType, kind.valueType] if isinstance(kind, T.MapType) else []
+    return isinstance(kind, what) or any(_holds(k, what) for k in inner)
+
+
+def hashable(value: Column, kind: T.DataType) -> Column:
+    """``value`` in a form that Spark's hashes take: maps as arrays of entries in order, variants as JSON."""
+    if isinstance(kind, T.VariantType):
+        return F.to_json(value)
+    if not _holds(kind, (T.MapType, T.VariantType)):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: hashable(v, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[hashable(value.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)]))
+    return F.sort_array(F.transform(F.map_entries(value), lambda e: F.struct(hashable(e["key"], kind.keyType).alias("k"), hashable(e["value"], kind.valueType).alias("v"))))
+
+
+def row_hash(docs: DataFrame, seed: int = 0) -> Column:
+    """A hash of a row's values that tells null from every value, whatever the columns are called and hold."""
+    return F.xxhash64(F.lit(seed), *[x for c, f in zip(columns(docs), docs.schema.fields, strict=True) for x in (c.isNull(), hashable(c, f.dataType))])

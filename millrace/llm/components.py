@@ -37,15 +37,15 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(small)
 
 
-def with_parts(rows: DataFrame, keys: list[str], by: str, part: int = PART, keys_alone: DataFrame | None = None) -> DataFrame:
+def with_parts(rows: DataFrame, keys: list[str], by: str, part: int = PART, keys_alone: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """Adds _i, _j and _side so that every two rows of a key meet in exactly one (key, _i, _j).
 
-    Rows of a key of more than ``part`` rows are dealt into parts by a hash of ``by``; with _i < _j only rows of
+    Rows of a key of more than ``part`` rows (or of more than that sum of ``weight``) are dealt into parts by a hash of ``by``; with _i < _j only rows of
     different _side are to be paired. Keys are counted without what their rows carry (over ``keys_alone``, if that is
     cheaper to make); only where a key is too large do rows meet the table of such keys, of which there can be one for
     every ``part`` rows at most.
     """
-    counts = (rows if keys_alone is None else keys_alone).groupBy(*keys).agg(F.count("*").alias("_n"))
+    counts = (rows if keys_alone is None else keys_alone).groupBy(*keys).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     large = cut(counts.filter(F.col("_n") > part).select(*keys, F.ceil(F.col("_n") / part).cast("int").alias("_parts")))
     if large.isEmpty():
         return rows.withColumns({"_i": F.lit(0), "_j": F.lit(0), "_side": F.lit(0)})

@@ -16,15 +16,16 @@ from millrace.llm import mixing, neardup_vectors, packing, quality, simhash, url
 from millrace.llm.line_dedup import line_dedup
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CLASHES = ["_id", "_h", "_repeats", "_round", "_drop", "_drop_id", "_drop_t", "_quality", "_lines", "_dropped", "n_lines", "n_dropped", "row", "id", "t", "of", "repeats", "score", "a.b"]
+CLASHES = ["_id", "_h", "_repeats", "_round", "_drop", "_drop_id", "_drop_t", "n_lines", "n_dropped", "row", "id", "t", "of", "repeats", "score", "a.b", "a`b", "_QUALITY", "_LINES", "_DROPPED", "ROW", "others", "key", "c0"]
 
 
 @pytest.mark.parametrize("name", ["quality", "lines", "near_copies", "mixture"])
 def test_stages_keep_columns_of_any_name(spark, docs, name):
     five = ["doc_id", "text", "lang", "source", "n_chars"]
     given = docs.select(*five, *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES]).union(
-        spark.createDataFrame([(None, "no id at all", "en", "s1", 12, *["x"] * len(CLASHES))], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
+        spark.createDataFrame([(None, "no id at all", "en", "s1", 12, *["x"] * len(CLASHES))], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"x{i} string" for i in range(len(CLASHES))))
     )
+    given = given.withColumns({"map": F.create_map(F.lit("b"), F.col("doc_id"), F.lit("a"), F.lit(None)), "maps": F.array(F.struct(F.create_map(F.lit("x"), F.col("doc_id")).alias("m")))})
     stage = dict(corpus_pipeline.STAGES)[name]
     out, plain = stage(spark, given, "/root/testdata/sf0.001"), stage(spark, given.select(*five), "/root/testdata/sf0.001")
     assert out.columns == given.columns
