@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_avg
+
 
 def counted(df: DataFrame, *keys: str) -> DataFrame:
     """How often each key comes, most frequent first, ties by key."""
@@ -20,7 +22,7 @@ def percent_of_total(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def described(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return df.groupBy(*keys).agg(F.round(exact_avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
 
 
 def filled_pivot(df: DataFrame, key: str, of: str, values: Sequence[str]) -> DataFrame:

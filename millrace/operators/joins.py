@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,38 +53,12 @@ def greedy_keep(items: DataFrame, pairs: DataFrame, key: str = "k") -> DataFrame
             return state.filter("s = 1").select(F.col("k").alias(key))
 
 
-def knn_mean_distance(items: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 3, block: int = 4096) -> DataFrame:
-    """(key, mean_distance): the mean Euclidean distance of each item to its k nearest rows of the reference, itself left out.
+def knn_mean_distance(items: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 3) -> DataFrame:
+    """(key, mean_distance): the mean Euclidean distance of each item to its k nearest rows of the reference, itself left out."""
+    from .neighbours import nearest_distances
 
-    Both sides are dealt into blocks of about ``block`` rows. Each two blocks meet in one task as a matrix product, of
-    which each item's k nearest leave; the nearest of all blocks follow from these. Null vectors are near to nothing.
-    """
-    own = lambda df: df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.xxhash64(key).alias("h"))
-    left, right = own(items), own(reference)
-    blocks = [max(1, -(-df.count() // block)) for df in (left, right)]
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    here = left.select("id", "v", F.pmod("h", F.lit(blocks[0])).cast("int").alias("i"), numbers(blocks[1]).alias("j"))
-    there = right.select("id", "v", F.pmod("h", F.lit(blocks[1])).cast("int").alias("j"), numbers(blocks[0]).alias("i"))
-
-    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
-        found = []
-        if len(ids) and len(others):
-            x, y = (np.stack(t.column("v").to_pandas().to_numpy()) for t in (a, b))
-            square = (y * y).sum(axis=1)
-            for at in range(0, len(x), 512):
-                part = x[at : at + 512]
-                d = square - 2 * part @ y.T
-                d[ids[at : at + 512, None] == others] = np.inf
-                near = np.argpartition(d, min(k, len(y)) - 1, axis=1)[:, :k]
-                exact = np.sqrt(((part[:, None, :] - y[near]) ** 2).sum(axis=2))
-                exact[np.isinf(np.take_along_axis(d, near, axis=1))] = np.nan
-                found += [row[~np.isnan(row)] for row in exact]
-        return pa.table({"id": pa.array(ids if found else [], pa.int64()), "d": pa.array(found, pa.list_(pa.float64()))})
-
-    met = here.groupBy("i", "j").cogroup(there.groupBy("i", "j")).applyInArrow(nearest, "id long, d array<double>")
-    best = F.slice(F.sort_array(F.flatten(F.collect_list("d"))), 1, k)
-    return met.groupBy("id").agg(best.alias("d")).filter(F.size("d") > 0).select(F.col("id").alias(key), (F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d")).alias("mean_distance"))
+    found = nearest_distances(items, reference, key, vector, k)
+    return found.select(key, (F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d")).alias("mean_distance"))
 
 
 def suffix_match(left: DataFrame, right: DataFrame, name: str, target: str, order: str) -> DataFrame:

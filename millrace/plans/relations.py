@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_avg
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,10 +48,10 @@ MANIFEST = """manifest AS (
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of variants, one row each, rounded so that both engines compare equal numbers."""
     r = lambda c: F.round(c, 6)
-    share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
+    share = lambda cond: exact_avg(F.when(cond, 1.0).otherwise(0.0))
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("variant")).agg(
-        r(share(F.col("l_returnflag") != "R")).alias("recall"), r(share(F.col("l_linestatus") == "O")).alias("specificity"), r(F.avg("l_discount") * 10).alias("auc"),
-        r(F.avg("l_tax") * 20).alias("dice"), r(F.avg("l_quantity") * 20).alias("latency_ms"), r(F.avg("l_extendedprice") / 1000).alias("mae"), F.count("*").alias("n"),
+        r(share(F.col("l_returnflag") != "R")).alias("recall"), r(share(F.col("l_linestatus") == "O")).alias("specificity"), r(exact_avg("l_discount") * 10).alias("auc"),
+        r(exact_avg("l_tax") * 20).alias("dice"), r(exact_avg("l_quantity") * 20).alias("latency_ms"), r(exact_avg("l_extendedprice") / 1000).alias("mae"), F.count("*").alias("n"),
     )
 
 

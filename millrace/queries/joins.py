@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_avg
 from ..operators.brackets import SEVERITY_BOUNDS, SEVERITY_GRADES, bracket_join, bracket_sql
 from ..operators.joins import knn_mean_distance, suffix_match
 from ..operators.setops import first_of_each
@@ -62,7 +63,7 @@ FROM part LEFT JOIN a ON a.p = p_partkey LEFT JOIN n ON n.p = p_partkey LEFT JOI
 def join_left_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, out = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey")
     # three left joins on one key: one aggregation gives all three sides
-    of = lambda c: F.round(F.avg(F.when(F.col("l_returnflag") == c, F.col("l_discount"))), 6)
+    of = lambda c: F.round(exact_avg(F.when(F.col("l_returnflag") == c, F.col("l_discount"))), 6)
     sides = li.groupBy(F.col("l_partkey").alias("p_partkey")).agg(of("A").alias("a"), of("N").alias("n"), of("R").alias("r"))
     joined = out.join(sides, "p_partkey", "left")
     filled = [F.coalesce(c, F.lit(-1.0)).alias(f"{c}_iou") for c in ("a", "n", "r")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_avg
 from ..operators.keys import first_present, number, output_stem, path_parts, prefixed
 from ..operators.rules import reason_code
 from ..plans.relations import MANIFEST, REPORT, manifest, report, table, with_
@@ -69,7 +70,7 @@ def prj_prefix_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(REPORT) + "SELECT category, count(nullif(mode_a, -1)) AS n_valid, round(avg(nullif(mode_a, -1)), 6) AS mean FROM report GROUP BY category")
 def prj_sentinel_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.nullif(F.col("mode_a"), F.lit(-1.0))
-    return report(spark, sf_dir).groupBy("category").agg(F.count(v).alias("n_valid"), F.round(F.avg(v), 6).alias("mean"))
+    return report(spark, sf_dir).groupBy("category").agg(F.count(v).alias("n_valid"), F.round(exact_avg(v), 6).alias("mean"))
 
 
 @query(

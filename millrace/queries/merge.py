@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_avg
 from ..operators.sampling import positions
 from ..operators.setops import ragged_union, upsert
 from ..plans.relations import REPORT, VARIANTS, report, table, variants, with_
@@ -106,14 +107,14 @@ def snk_yolo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(REPORT) + "SELECT category, round(avg(coverage), 6) AS mean_coverage, avg(coverage) = max(avg(coverage)) OVER () AS best FROM report GROUP BY category")
 def snk_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = report(spark, sf_dir).groupBy("category").agg(F.avg("coverage").alias("m"))
+    m = report(spark, sf_dir).groupBy("category").agg(exact_avg("coverage").alias("m"))
     return m.select("category", F.round("m", 6).alias("mean_coverage"), (F.col("m") == F.max("m").over(Window.partitionBy())).alias("best"))
 
 
 @query("SELECT l_suppkey % 4 AS mode, l_suppkey AS stem, count(*) AS n, round(avg(l_discount * 1000), 6) AS severity FROM lineitem GROUP BY l_suppkey")
 def snk_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What comes back of sidecars that were written in the shared folder."""
-    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 4).alias("mode"), F.col("l_suppkey").alias("stem")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("l_discount") * 1000), 6).alias("severity"))
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 4).alias("mode"), F.col("l_suppkey").alias("stem")).agg(F.count("*").alias("n"), F.round(exact_avg(F.col("l_discount") * 1000), 6).alias("severity"))
     path = f"{shared_folder(spark)}/sidecars-{uuid.uuid4().hex}"
     write_pseudo_labels(rows, path)
     return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..functions.exact import exact_avg
 from ..plans.relations import BOUNDARY, PREDICTIONS, REPORT, SCORES, predictions, report, scores, table, with_
 from ..registry import query
 
@@ -146,14 +147,22 @@ def met_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT o_orderstatus AS category, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderstatus, o_totalprice) - 1) / 2.0::double AS ra,
-    rank() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_orderstatus, o_custkey) - 1) / 2.0::double AS rb FROM orders)
-SELECT category, count(*) AS n, round(corr(ra, rb), 6) AS rho FROM r GROUP BY category HAVING count(*) >= 5"""
+    """WITH x AS (SELECT o_orderstatus AS category, o_totalprice, o_custkey FROM orders UNION ALL SELECT 'Overall', o_totalprice, o_custkey FROM orders),
+  r AS (SELECT category, rank() OVER (PARTITION BY category ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY category, o_totalprice) - 1) / 2.0::double AS ra,
+    rank() OVER (PARTITION BY category ORDER BY o_custkey) + (count(*) OVER (PARTITION BY category, o_custkey) - 1) / 2.0::double AS rb FROM x),
+  c AS (SELECT category, count(*) AS n, corr(ra, rb) AS rho, (count(*) - 2) / 2.0::double AS a FROM r GROUP BY category HAVING count(*) >= 5 OR category = 'Overall'),
+  q AS (SELECT *, asin(least(abs(rho), 1)) AS low, least(pi() / 2, asin(least(abs(rho), 1)) + 12 / sqrt(a)) AS high FROM c)
+SELECT category, n, round(any_value(rho), 6) AS rho, round(any_value(2 * exp(lgamma(a + 0.5::double) - lgamma(a) - lgamma(0.5::double)) * (high - low) / 12000) *
+  sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(low + (high - low) * i / 4000), 2 * a - 1)), 6) AS p FROM q, range(4001) t(i) GROUP BY category, n"""
 )
 def met_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each class of five rows at least, and of all rows: the rank correlation and its p-value (in SQL by Simpson's rule)."""
     from ..functions.ranks import spearman
 
-    return spearman(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey", "o_orderstatus").filter("n >= 5").select(F.col("o_orderstatus").alias("category"), "n", F.round("rho", 6).alias("rho"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("category"), "o_totalprice", "o_custkey")
+    classes = spearman(orders, "o_totalprice", "o_custkey", "category").filter("n >= 5")
+    every = spearman(orders, "o_totalprice", "o_custkey").select(F.lit("Overall").alias("category"), "*")
+    return classes.union(every).select("category", "n", F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"))
 
 
 @query(
@@ -188,9 +197,9 @@ def met_tier_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
   + 0.10::double * (1 - avg(abs(mode_a - mode_b)) / 100), 6) AS composite FROM report GROUP BY l_suppkey"""
 )
 def met_composite_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = lambda c: F.avg(c.cast("int"))
+    share = lambda c: exact_avg(c.cast("int"))
     conf = F.col("conf")
-    value = F.lit(0.40) * F.avg("coverage") + F.lit(0.20) * share(conf >= 0.6) + F.lit(0.10) * share(conf >= 0.7) + F.lit(0.05) * share(conf >= 0.8) + F.lit(0.15) * share(F.col("category") == "N") + F.lit(0.10) * (1 - F.avg(F.abs(F.col("mode_a") - F.col("mode_b"))) / 100)
+    value = F.lit(0.40) * exact_avg("coverage") + F.lit(0.20) * share(conf >= 0.6) + F.lit(0.10) * share(conf >= 0.7) + F.lit(0.05) * share(conf >= 0.8) + F.lit(0.15) * share(F.col("category") == "N") + F.lit(0.10) * (1 - exact_avg(F.abs(F.col("mode_a") - F.col("mode_b"))) / 100)
     return report(spark, sf_dir).groupBy(F.col("l_suppkey").alias("variant")).agg(F.round(value, 6).alias("composite"))
 
 
@@ -246,26 +255,33 @@ def met_knn_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_(REPORT)
-    + """, m AS (SELECT 1 AS step, 'conf' AS artifact, avg(conf) AS iou FROM report UNION ALL SELECT 2, 'coverage', avg(coverage) FROM report UNION ALL SELECT 3, 'mode_a', avg(mode_a) / 100 FROM report)
-SELECT step, artifact, round(iou, 6) AS mean_iou, round(lag(iou) OVER (ORDER BY step) - iou, 6) AS gap FROM m"""
+    """WITH k AS (SELECT sum(l_discount::decimal(12, 2)) * 9 / 2 / count(*) + 0.5 AS conf, sum(l_quantity::decimal(12, 2)) / 50 / count(*) AS coverage,
+    sum(CASE WHEN l_quantity < 7.5 THEN -0.001 ELSE l_discount::decimal(12, 2) END) * 10 / count(*) AS mode_a FROM lineitem),
+  m AS (SELECT unnest([1, 2, 3]) AS step, unnest(['conf', 'coverage', 'mode_a']) AS artifact, unnest([conf, coverage, mode_a])::double AS iou FROM k)
+SELECT step, artifact, round(iou, 6) AS mean_iou, round(round(lag(iou) OVER (ORDER BY step) - iou, 12), 6) AS gap FROM m"""
 )
 def met_teacher_style_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = report(spark, sf_dir).agg(F.avg("conf").alias("conf"), F.avg("coverage").alias("coverage"), (F.avg("mode_a") / 100).alias("mode_a"))
+    """Means by whole numbers, in query and SQL, so that ties at the last place don't depend on the order of rows."""
+    li = table(spark, sf_dir, "lineitem").select(*[F.round(F.col(c) * 100).cast("long").alias(c) for c in ("l_discount", "l_quantity")])
+    n = F.count("*")
+    discounts, quantities = F.sum("l_discount"), F.sum("l_quantity")
+    severity = F.sum(F.when(F.col("l_quantity") < 750, F.lit(-1)).otherwise(F.col("l_discount") * 10))
+    means = li.agg((discounts * 9 / (n * 200) + F.lit(0.5)).alias("conf"), (quantities / (n * 5000)).alias("coverage"), (severity / (n * 100)).alias("mode_a"))
     m = means.select(F.inline(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(n).alias("artifact"), F.col(n).alias("iou")) for i, n in enumerate(("conf", "coverage", "mode_a"), 1)])))
-    return m.select("step", "artifact", F.round("iou", 6).alias("mean_iou"), F.round(F.lag("iou").over(Window.orderBy("step")) - F.col("iou"), 6).alias("gap"))
+    gap = F.round(F.lag("iou").over(Window.orderBy("step")) - F.col("iou"), 12)
+    return m.select("step", "artifact", F.round("iou", 6).alias("mean_iou"), F.round(gap, 6).alias("gap"))
 
 
 @query("WITH s AS (SELECT user_id, stddev_pop(value) AS s FROM events GROUP BY user_id) SELECT round(avg(s), 6) AS mean_std, count(*) FILTER (s < 20) AS n_collapsed, count(*) AS n FROM s")
 def met_recon_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.stddev_pop("value").alias("s"))
-    return s.agg(F.round(F.avg("s"), 6).alias("mean_std"), F.count_if(F.col("s") < 20).alias("n_collapsed"), F.count("*").alias("n"))
+    return s.agg(F.round(exact_avg("s"), 6).alias("mean_std"), F.count_if(F.col("s") < 20).alias("n_collapsed"), F.count("*").alias("n"))
 
 
 @query(with_(REPORT) + "SELECT category, round(avg((mode_a > 50) = (mode_b > 50)::boolean)::double, 6) AS agreement, round(avg(abs(mode_a - mode_b)), 6) AS mean_abs_diff FROM report GROUP BY category".replace("avg((mode_a > 50) = (mode_b > 50)::boolean)::double", "avg(((mode_a > 50) = (mode_b > 50))::int)"))
 def met_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = ((F.col("mode_a") > 50) == (F.col("mode_b") > 50)).cast("int")
-    return report(spark, sf_dir).groupBy("category").agg(F.round(F.avg(same), 6).alias("agreement"), F.round(F.avg(F.abs(F.col("mode_a") - F.col("mode_b"))), 6).alias("mean_abs_diff"))
+    return report(spark, sf_dir).groupBy("category").agg(F.round(exact_avg(same), 6).alias("agreement"), F.round(exact_avg(F.abs(F.col("mode_a") - F.col("mode_b"))), 6).alias("mean_abs_diff"))
 
 
 @query("SELECT l_orderkey, sum(l_discount * 100)::double AS symptom, sum(l_quantity) AS leaf, round(100 * sum(l_discount * 100) / greatest(sum(l_quantity), 1), 6) AS pct FROM lineitem GROUP BY l_orderkey".replace("sum(l_discount * 100)::double AS symptom", "round(sum(l_discount * 100), 6) AS symptom"))
@@ -291,7 +307,7 @@ def _soft(spark: SparkSession, sf_dir: str) -> DataFrame:
     pt = F.when(t >= 0.5, p).otherwise(1 - p)
     return report(spark, sf_dir).groupBy("category").agg(
         F.sum(t * p).alias("tp"), F.sum((1 - t) * p).alias("fp"), F.sum(t * (1 - p)).alias("fn"), F.count("*").alias("n"),
-        F.avg(-(t * F.ln(q) + (1 - t) * F.ln(1 - q))).alias("bce"), F.avg(F.pow(1 - pt, F.lit(2)) * -F.ln(F.greatest(pt, F.lit(1e-6)))).alias("focal"),
+        exact_avg(-(t * F.ln(q) + (1 - t) * F.ln(1 - q))).alias("bce"), exact_avg(F.pow(1 - pt, F.lit(2)) * -F.ln(F.greatest(pt, F.lit(1e-6)))).alias("focal"),
     )
 
 

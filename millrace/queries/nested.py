@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.runs import area, filled, from_lengths, intersection, iou, union
 from ..plans.relations import table
 from ..registry import query
 from ..sources import annotations as A
@@ -132,3 +133,44 @@ def src_json_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.from_json("props", "k long")["k"]
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(k).alias("k"))
+
+
+#: Two polygons of each part, a triangle and a quadrangle, and a mask in run lengths, in a frame of 24 by 24 cells.
+SHAPES = """p AS (SELECT p_partkey, p_size, [[(p_size % 13) + 0.25::double, 1.5::double], [22.75::double - p_partkey % 7, 3.0::double + p_partkey % 5], [(p_partkey % 11) + 4.0::double, 23.5::double]] AS a,
+    [[2.0::double, (p_size % 9) + 0.5::double], [20.5::double, (p_partkey % 6) * 1.0::double], [23.0::double - p_size % 4, 20.25::double], [(p_partkey % 8) * 1.0::double, 22.0::double]] AS b FROM part),
+  cells AS (SELECT x, y FROM range(24) c(x), range(24) r(y)),
+  edges AS (SELECT p_partkey, 'a' AS of, a[i] AS f, a[i % 3 + 1] AS t FROM p, range(1, 4) e(i) UNION ALL SELECT p_partkey, 'b', b[i], b[i % 4 + 1] FROM p, range(1, 5) e(i)),
+  marks AS (SELECT p_partkey, of, x, y, count(*) FILTER (f[2] + (x + 0.5::double - f[1]) * (t[2] - f[2]) / (t[1] - f[1]) <= y + 0.5::double) % 2 = 1 AS inside
+    FROM edges, cells WHERE (f[1] <= x + 0.5::double) <> (t[1] <= x + 0.5::double) GROUP BY ALL)"""
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, key = F.col("p_size"), F.col("p_partkey")
+    point = lambda x, y: F.array((x + F.lit(0.0)).cast("double"), (y + F.lit(0.0)).cast("double"))
+    a = F.array(point(size % 13 + 0.25, F.lit(1.5)), point(22.75 - key % 7, key % 5 + 3.0), point(key % 11 + 4.0, F.lit(23.5)))
+    b = F.array(point(F.lit(2.0), size % 9 + 0.5), point(F.lit(20.5), key % 6), point(23.0 - size % 4, F.lit(20.25)), point(key % 8, F.lit(22.0)))
+    masks = [filled(p, F.lit(24), F.lit(24)).alias(n) for p, n in ((a, "a"), (b, "b"))]
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", *masks)
+
+
+@query(
+    f"""WITH {SHAPES}, w AS (SELECT p_partkey, x, y, coalesce(bool_or(inside) FILTER (of = 'a'), false) AS a, coalesce(bool_or(inside) FILTER (of = 'b'), false) AS b FROM marks GROUP BY ALL)
+SELECT p_partkey, count(*) FILTER (a) AS area_a, count(*) FILTER (b) AS area_b, count(*) FILTER (a OR b) AS area_either, round(count(*) FILTER (a AND b)::double / count(*) FILTER (a OR b), 9) AS iou FROM w GROUP BY p_partkey"""
+)
+def met_iou_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IoU of two polygons by their runs."""
+    s = _shapes(spark, sf_dir)
+    return s.select("p_partkey", area(F.col("a")).alias("area_a"), area(F.col("b")).alias("area_b"), area(union(F.col("a"), F.col("b"))).alias("area_either"), F.round(iou(F.col("a"), F.col("b")), 9).alias("iou"))
+
+
+@query(
+    f"""WITH {SHAPES}, l AS (SELECT p_partkey, p_size % 40 AS z, p_size * 3 + 20 AS o, p_partkey % 50 AS g FROM p), u AS (SELECT p_partkey, x * 24 + y AS k, inside FROM marks WHERE of = 'a'),
+  c AS (SELECT l.p_partkey, k, (k >= z AND k < z + o) OR (k >= z + o + g AND k < z + o + g + 60) AS held FROM l, range(576) t(k))
+SELECT c.p_partkey, count(*) FILTER (held) AS area_rle, count(*) FILTER (held AND coalesce(inside, false)) AS area_both, round(count(*) FILTER (held AND coalesce(inside, false))::double / count(*) FILTER (held OR coalesce(inside, false)), 9) AS iou
+FROM c LEFT JOIN u USING (p_partkey, k) GROUP BY c.p_partkey"""
+)
+def met_iou_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IoU of a polygon and a mask in run lengths, which is never decoded."""
+    mask = from_lengths(F.array(F.col("p_size") % 40, F.col("p_size") * 3 + 20, F.col("p_partkey") % 50, F.lit(60)))
+    s = _shapes(spark, sf_dir).select("p_partkey", "a", mask.alias("m"))
+    return s.select("p_partkey", area(F.col("m")).alias("area_rle"), area(intersection(F.col("a"), F.col("m"))).alias("area_both"), F.round(iou(F.col("a"), F.col("m")), 9).alias("iou"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_avg
 from ..operators.aggregates import counted, described, filled_pivot, percent_of_total, rollup_overall
 from ..operators.brackets import COVERAGE_WEIGHTS, bracket_case, bracket_sql
 from ..plans.relations import REPORT, report, table, with_
@@ -28,7 +29,7 @@ def agg_mode_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.when(F.col("severity") != -1, F.col("severity"))
     return long.groupBy("mode", "category").agg(
         F.count("*").alias("n"),
-        F.round(F.avg(s), 6).alias("mean_severity"),
+        F.round(exact_avg(s), 6).alias("mean_severity"),
         F.round(F.stddev_samp(s), 6).alias("std_severity"),
         F.round(F.median(s), 6).alias("median_severity"),
         F.round(F.lit(100.0) * F.count_if(F.col("severity") > 0) / F.greatest(F.count(s), F.lit(1)), 6).alias("pct_positive"),
@@ -88,9 +89,9 @@ def agg_wide_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = []
     for c in ("A", "N", "R"):
         v = F.when(F.col("category") == c, F.col("coverage"))
-        wide += [F.round(F.avg(v), 6).alias(f"{c.lower()}_mean"), F.round(F.stddev_pop(v), 6).alias(f"{c.lower()}_std"), F.count(v).alias(f"{c.lower()}_n")]
+        wide += [F.round(exact_avg(v), 6).alias(f"{c.lower()}_mean"), F.round(F.stddev_pop(v), 6).alias(f"{c.lower()}_std"), F.count(v).alias(f"{c.lower()}_n")]
     return report(spark, sf_dir).groupBy(F.col("status").alias("artifact")).agg(
-        *wide, F.round(F.avg("coverage"), 6).alias("overall_mean"), F.count_if(F.col("coverage") < 0.75).alias("n_below_warn"), (F.avg("coverage") >= 0.5).alias("target_met")
+        *wide, F.round(exact_avg("coverage"), 6).alias("overall_mean"), F.count_if(F.col("coverage") < 0.75).alias("n_below_warn"), (exact_avg("coverage") >= 0.5).alias("target_met")
     )
 
 
@@ -99,7 +100,7 @@ def agg_wide_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """SELECT CASE WHEN grouping(category) = 1 THEN 'Overall' ELSE category END AS category, count(*) AS n, round(avg(coverage), 6) AS mean_coverage FROM report GROUP BY ROLLUP (category)"""
 )
 def agg_class_plus_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup_overall(report(spark, sf_dir), "category", F.count("*").alias("n"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+    return rollup_overall(report(spark, sf_dir), "category", F.count("*").alias("n"), F.round(exact_avg("coverage"), 6).alias("mean_coverage"))
 
 
 @query("SELECT CASE WHEN starts_with(p_type, 'P') THEN 'prefixed' ELSE 'other' END AS strategy, count(*) AS n FROM part GROUP BY 1")
@@ -127,7 +128,7 @@ SELECT mode, category, round(avg(severity), 6) AS mean_severity FROM long WHERE
 )
 def met_mode_class_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = report(spark, sf_dir).select("category", "mode_a", "mode_b").unpivot("category", ["mode_a", "mode_b"], "mode", "severity")
-    return long.filter("severity <> -1").groupBy("mode", "category").agg(F.round(F.avg("severity"), 6).alias("mean_severity"))
+    return long.filter("severity <> -1").groupBy("mode", "category").agg(F.round(exact_avg("severity"), 6).alias("mean_severity"))
 
 
 @query(
@@ -135,7 +136,7 @@ def met_mode_class_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def agg_method_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("method")).agg(
-        F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.round(F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))), 4).alias("mean_price_f")
+        F.round(exact_avg("o_totalprice"), 4).alias("mean_price"), F.round(exact_avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))), 4).alias("mean_price_f")
     )
 
 
@@ -145,7 +146,7 @@ def agg_method_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def agg_method_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("category")).agg(
-        F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.round(F.lit(100.0) * F.count_if(F.col("o_totalprice") > 100000) / F.count("*"), 4).alias("correct_pct")
+        F.count("*").alias("n"), F.round(exact_avg("o_totalprice"), 4).alias("mean_price"), F.round(F.lit(100.0) * F.count_if(F.col("o_totalprice") > 100000) / F.count("*"), 4).alias("correct_pct")
     )
 
 
@@ -180,5 +181,5 @@ def agg_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     timed = after_warm_up(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], 20)
     return timed.groupBy(F.col("event_type").alias("variant")).agg(
-        F.round(F.avg("value"), 6).alias("mean_ms"), F.round(F.stddev_pop("value"), 6).alias("std_ms"), F.round(F.lit(1000) / F.greatest(F.avg("value"), F.lit(0.001)), 6).alias("fps")
+        F.round(exact_avg("value"), 6).alias("mean_ms"), F.round(F.stddev_pop("value"), 6).alias("std_ms"), F.round(F.lit(1000) / F.greatest(exact_avg("value"), F.lit(0.001)), 6).alias("fps")
     )
