@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,16 +62,39 @@ def knn_mean_distance(items: DataFrame, reference: DataFrame, key: str, vector:
 
 
 def suffix_match(left: DataFrame, right: DataFrame, name: str, target: str, order: str) -> DataFrame:
-    """Each left row with the first right row (by ``order``) whose target equals its name or else is a suffix of it.
+    """Each left row, repeated ones too, with the first right row (by ``order``) whose target equals its name or else is a suffix of it.
 
     Suffixes are found by equality too: every suffix of a name that is as long as some target is looked up, once for all
-    rows that share a target.
+    rows that share a name, and once for all that share a target. A null name meets nothing.
     """
     right = right.groupBy(target).agg(F.min(order).alias(order))
     lengths = [r[0] for r in right.select(F.char_length(target)).distinct().collect()]
-    ends = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.char_length(name)), lambda n: F.right(F.col(name), n))
-    tried = left.withColumn("_end", F.explode_outer(F.array_distinct(ends)))
-    met = tried.join(right.select(F.col(target).alias("_end"), F.col(order).alias("_order")), "_end", "left")
-    exact = F.col("_end") == F.col(name)
-    rank = F.row_number().over(Window.partitionBy(*left.columns).orderBy(F.col("_order").isNull(), F.desc(F.coalesce(exact, F.lit(False))), "_order"))
-    return met.withColumn("_n", rank).filter("_n = 1").select(*left.columns, F.col("_order").alias(order))
+    names = left.select(F.col(name).alias("_name")).filter("_name IS NOT NULL").distinct()
+    ends = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.char_length("_name")), lambda n: F.right(F.col("_name"), n))
+    tried = names.withColumn("_end", F.explode(F.array_distinct(ends)))
+    met = tried.join(right.select(F.col(target).alias("_end"), F.col(order).alias("_order")), "_end")
+    best = met.groupBy("_name").agg(F.min(F.struct((F.col("_end") != F.col("_name")).alias("a"), F.col("_order").alias("o")))["o"].alias("_order"))
+    return left.join(best, left[name] == best["_name"], "left").select(*[left[c] for c in left.columns], best["_order"].alias(order))
+
+
+def contains_match(texts: DataFrame, tokens: DataFrame, text: str, token: str) -> DataFrame:
+    """All rows of ``texts`` and ``tokens`` (whose columns have different names) of which the text contains the token.
+
+    An inverted index of the texts' trigrams: a token is looked up by the one of its trigrams that the fewest texts hold,
+    and what is found is verified. Tokens of one or two characters are trigrams' shorter kin, and an empty token is in
+    every text, as SQL has it. Null texts and tokens match nothing.
+    """
+    lengths = sorted(r[0] for r in tokens.filter(F.col(token).isNotNull()).select(F.least(F.char_length(token), F.lit(3))).distinct().collect())
+
+    def grams(column: Column, n: Column | int) -> Column:
+        n = F.lit(n) if isinstance(n, int) else n
+        return F.when(F.char_length(column) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(column) - n + 1), lambda i: F.substr(column, i, n)))).otherwise(F.array().cast("array<string>"))
+
+    own = texts.filter(F.col(text).isNotNull()).select(F.struct(*texts.columns).alias("_t"), F.col(text).alias("_text"))
+    index = own.withColumn("_gram", F.explode(F.flatten(F.array(*[grams(F.col("_text"), n) for n in lengths])) if lengths else F.array().cast("array<string>")))
+    looked = tokens.filter(F.col(token).isNotNull()).select(F.struct(*tokens.columns).alias("_k"), F.col(token).alias("_token"))
+    held = index.groupBy("_gram").agg(F.count("*").alias("_n"))
+    tried = looked.select("_token").distinct().withColumn("_gram", F.explode(grams(F.col("_token"), F.least(F.char_length("_token"), F.lit(3)))))
+    rarest = tried.join(held, "_gram", "left").groupBy("_token").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g")))["g"].alias("_gram"))
+    met = index.join(looked.join(rarest, "_token"), "_gram").filter(F.contains("_text", "_token"))
+    return met.select(*[F.col("_t").getField(c).alias(c) for c in texts.columns], *[F.col("_k").getField(c).alias(c) for c in tokens.columns])

@@ -24,11 +24,13 @@ def agg_dup_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_(MANIFEST)
-    + "SELECT category, filename, count(*) AS n, string_agg(doc_id::varchar, ',' ORDER BY doc_id) AS doc_ids FROM manifest GROUP BY category, filename HAVING count(*) > 1"
+    + "SELECT doc_id, category, filename, count(*) OVER (PARTITION BY category, filename) AS n FROM manifest QUALIFY count(*) OVER (PARTITION BY category, filename) > 1"
 )
 def agg_key_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = manifest(spark, sf_dir).groupBy("category", "filename").agg(F.count("*").alias("n"), F.collect_list("doc_id").alias("ids")).filter("n > 1")
-    return groups.select("category", "filename", "n", F.array_join(F.sort_array("ids").cast("array<string>"), ",").alias("doc_ids"))
+    """The items of each group that shares a category and a name, one a row, with the group's size: no list grows with a group."""
+    m = manifest(spark, sf_dir).select("doc_id", "category", "filename")
+    groups = m.groupBy("category", "filename").agg(F.count("*").alias("n")).filter("n > 1")
+    return m.join(groups, ["category", "filename"]).select("doc_id", "category", "filename", "n")
 
 
 @query(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exact import exact_avg
 from ..operators.brackets import SEVERITY_BOUNDS, SEVERITY_GRADES, bracket_join, bracket_sql
-from ..operators.joins import knn_mean_distance, suffix_match
+from ..operators.joins import contains_match, knn_mean_distance, suffix_match
 from ..operators.setops import first_of_each
 from ..plans.relations import MANIFEST, REPORT, manifest, report, table, with_
 from ..registry import query
@@ -138,6 +138,6 @@ SELECT n_nationkey, s_suppkey FROM m WHERE k = 1"""
 )
 def join_glob_disambig(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.regexp_extract("n_name", "([0-9]+)$", 1).alias("token"))
-    met = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.contains("s_name", "token"))  # the nations are a fixed list
-    rank = F.row_number().over(Window.partitionBy("n_nationkey").orderBy(F.desc(F.col("s_nationkey") == F.col("n_nationkey")), "s_name"))
-    return met.withColumn("_k", rank).filter("_k = 1").select("n_nationkey", "s_suppkey")
+    met = contains_match(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), nation, "s_name", "token")
+    first = F.min(F.struct((F.col("s_nationkey") != F.col("n_nationkey")).alias("other"), F.col("s_name"), F.col("s_suppkey")))
+    return met.groupBy("n_nationkey").agg(first.alias("first")).select("n_nationkey", "first.s_suppkey")

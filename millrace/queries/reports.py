@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exact import exact_avg
 from ..operators.aggregates import counted, described, filled_pivot, percent_of_total, rollup_overall
 from ..operators.brackets import COVERAGE_WEIGHTS, bracket_case, bracket_sql
+from ..operators.medians import medians
 from ..plans.relations import REPORT, report, table, with_
 from ..registry import query
 
@@ -27,15 +28,16 @@ FROM long GROUP BY mode, category"""
 def agg_mode_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = report(spark, sf_dir).select("category", *MODES).unpivot("category", list(MODES), "mode", "severity")
     s = F.when(F.col("severity") != -1, F.col("severity"))
-    return long.groupBy("mode", "category").agg(
+    middle = medians(long.select("mode", "category", s.alias("s")), "s", "mode", "category").withColumn("median_severity", F.round("median", 6)).drop("median")
+    counts = long.groupBy("mode", "category").agg(
         F.count("*").alias("n"),
         F.round(exact_avg(s), 6).alias("mean_severity"),
         F.round(F.stddev_samp(s), 6).alias("std_severity"),
-        F.round(F.median(s), 6).alias("median_severity"),
         F.round(F.lit(100.0) * F.count_if(F.col("severity") > 0) / F.greatest(F.count(s), F.lit(1)), 6).alias("pct_positive"),
         F.count_if(F.col("severity") == -1).alias("n_excluded"),
         F.round(F.lit(100.0) * F.count_if(F.col("severity") == -1) / F.count("*"), 6).alias("pct_excluded"),
     )
+    return counts.join(middle, ["mode", "category"], "left")
 
 
 @query("SELECT l_shipdate::date::varchar AS value, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, value")
