@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.runs import area, filled, from_lengths, intersection, iou, union
 from ..plans.relations import table
 from ..registry import query
+from ..session import shared_folder
 from ..sources import annotations as A
+from ..sources.json_elements import write_array, write_sections
+
+
+#: Bytes of an annotation file that one task reads.
+PARTS = 4 << 20
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label Studio exports made of orders: a polygon of two to five points, sometimes of another type."""
+    """Label Studio exports made of orders, written as files and read back: a polygon of two to five points, sometimes of another type."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     points = F.transform(F.sequence(F.lit(0), (k % 4 + 1).cast("int")), lambda i: F.array(((k * (i + 1)) % 101).cast("double"), ((k * (i + 3)) % 97).cast("double")))
@@ -20,7 +28,9 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = F.struct(kind.alias("type"), F.lit(100).alias("original_width"), F.lit(100).alias("original_height"), F.struct(points.alias("points")).alias("value"))
     notes = F.when(k % 7 != 0, F.array(F.struct(F.array(result).alias("result"))))
     task = F.struct(F.struct(F.concat(F.lit("/data/"), F.lit("ab12-img_"), k.cast("string"), F.lit(".jpg")).alias("image")).alias("data"), notes.alias("annotations"))
-    return A.tasks(o.select(F.to_json(F.array(task)).alias("doc")), "doc")
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    write_array(o.select(F.to_json(task).alias("doc")), "doc", path)
+    return A.tasks(spark, path, PARTS)
 
 
 PTS = """pts AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'brushlabels' ELSE 'polygonlabels' END AS type, i.i,
@@ -89,15 +99,16 @@ def rle_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _coco(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """COCO documents made of orders: one for each, with two annotations of its customer's nation."""
+    """COCO files made of customers, written and read back: an image of each, with two annotations, and three categories."""
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     image = F.struct(k.alias("id"), F.concat(F.when(k % 2 == 0, "MSV_").otherwise("MLN_"), k.cast("string"), F.lit(".png")).alias("file_name"), F.lit(64).alias("width"), F.lit(64).alias("height"))
-    notes = F.array(*[F.struct(k.alias("image_id"), ((k + i) % 3).alias("category_id"), F.lit("[]").alias("segmentation")) for i in (0, 1)])
-    doc = F.to_json(F.struct(F.array(image).alias("images"), notes.alias("annotations"), F.array().cast("array<struct<id: bigint, name: string>>").alias("categories")))
-    images, annotations, _ = A.coco(c.select(doc.alias("doc")), "doc")
-    categories = spark.createDataFrame([(0, "Leaf"), (1, "Symptom"), (2, "other")], "id long, name string")
-    return images, annotations, categories
+    notes = [F.struct(k.alias("image_id"), ((k + i) % 3).alias("category_id"), F.lit("[]").alias("segmentation")) for i in (0, 1)]
+    parts = F.array(F.struct(F.lit("images").alias("section"), F.to_json(image).alias("doc")), *[F.struct(F.lit("annotations").alias("section"), F.to_json(n).alias("doc")) for n in notes])
+    names = spark.createDataFrame([("categories", f'{{"id": {i}, "name": "{n}"}}') for i, n in enumerate(("Leaf", "Symptom", "other"))], "section string, doc string").coalesce(1)
+    path = f"{shared_folder(spark)}/coco-{uuid.uuid4().hex}"
+    write_sections(c.select(F.inline(parts)).union(names), "section", "doc", path)
+    return A.coco(spark, path, PARTS)
 
 
 COCO_SQL = """WITH a AS (SELECT c_custkey AS image_id, (c_custkey + i.i) % 3 AS category_id FROM customer CROSS JOIN range(0, 2) i(i)), c AS (SELECT * FROM (VALUES (0, 'leaf'), (1, 'symptom'), (2, 'other')) t(id, name))"""
@@ -121,12 +132,19 @@ def src_coco_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id % 4 AS shape, CASE event_id % 4 WHEN 0 THEN 'coco' WHEN 1 THEN 'tasks' WHEN 2 THEN 'json_min' ELSE 'object' END AS verdict, count(*) AS n FROM events GROUP BY ALL"""
+    """WITH d AS (SELECT event_id % 6 AS shape, CASE event_id % 6 WHEN 0 THEN 'coco' WHEN 1 THEN 'tasks' WHEN 2 THEN 'json_min' WHEN 3 THEN 'object' WHEN 4 THEN 'broken' ELSE 'scalar' END AS verdict FROM events)
+SELECT shape, verdict, count(*) AS n, count(*) FILTER (verdict = 'broken') AS n_broken FROM d GROUP BY ALL"""
 )
 def src_json_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 4
-    doc = F.when(k == 0, '{"images": [], "annotations": [], "categories": []}').when(k == 1, '[{"data": {}, "annotations": []}]').when(k == 2, '[{"image": "a.jpg", "id": 1}]').otherwise(F.col("props"))
-    return table(spark, sf_dir, "events").select(k.alias("shape"), A.sniff(doc).alias("verdict")).groupBy("shape", "verdict").agg(F.count("*").alias("n"))
+    """Documents made of events in six shapes, cut ones among them, and what they look like."""
+    k, e, path = F.col("event_id") % 6, F.col("event_id"), F.concat(F.lit("/data/"), F.col("user_id").cast("string"), F.lit(".jpg"))
+    coco = F.struct(F.array(F.struct(e.alias("id"), path.alias("file_name"))).alias("images"), F.array(F.struct(e.alias("image_id"), F.col("value").alias("score"))).alias("annotations"), F.array().cast("array<string>").alias("categories"))
+    task = F.array(F.struct(F.struct(path.alias("image")).alias("data"), F.array(F.struct(e.alias("id"))).alias("annotations")))
+    small = F.array(F.struct(path.alias("image"), e.alias("id")))
+    whole = F.to_json(coco)
+    doc = F.when(k == 0, whole).when(k == 1, F.to_json(task)).when(k == 2, F.to_json(small)).when(k == 3, F.col("props")).when(k == 4, F.substring(whole, 1, 40)).otherwise(F.col("value").cast("string"))
+    documents = table(spark, sf_dir, "events").select(k.alias("shape"), doc.alias("doc")).withColumn("verdict", A.sniff(F.col("doc")))
+    return A.sniffed_schema(documents, "doc", "shape", "verdict").drop("schema")
 
 
 @query("SELECT user_id, sum((props->>'$.k')::bigint)::bigint AS k FROM events GROUP BY user_id")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_elements import CHUNK, elements
+
 POLYGON = "struct<type: string, original_width: int, original_height: int, value: struct<points: array<array<double>>>>"
-TASKS = f"array<struct<data: struct<image: string>, file_upload: string, annotations: array<struct<result: array<{POLYGON}>>>>>"
-COCO = "struct<images: array<struct<id: long, file_name: string, width: int, height: int>>, categories: array<struct<id: long, name: string>>, annotations: array<struct<image_id: long, category_id: long, segmentation: string>>>"
+TASK = f"struct<data: struct<image: string>, file_upload: string, annotations: array<struct<result: array<{POLYGON}>>>>"
+SECTIONS = {
+    "images": "struct<id: long, file_name: string, width: int, height: int>",
+    "annotations": "struct<image_id: long, category_id: long, segmentation: string>",
+    "categories": "struct<id: long, name: string>",
+}
 
 
-def tasks(documents: DataFrame, column: str) -> DataFrame:
-    """One row ``task`` for each task of a Label Studio export; what can't be parsed gives none."""
-    return documents.select(F.explode(F.from_json(column, TASKS)).alias("task"))
+def tasks(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """One row ``task`` for each task of Label Studio exports, files of one array each, of which tasks read parts; what can't be parsed gives none."""
+    return elements(spark, path, chunk=chunk).select(F.from_json("element", TASK).alias("task")).filter("task IS NOT NULL")
 
 
 def task_stem(task: Column) -> Column:
@@ -44,10 +50,10 @@ def bounding_box(points: Column, scale: float = 100.0) -> Column:
     return F.struct(((x0 + x1) / 2).alias("cx"), ((y0 + y1) / 2).alias("cy"), (x1 - x0).alias("w"), (y1 - y0).alias("h"))
 
 
-def coco(documents: DataFrame, column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The images, annotations and categories of COCO documents, each as a table."""
-    parsed = documents.select(F.from_json(column, COCO).alias("c"))
-    return tuple(parsed.select(F.inline(F.coalesce(f"c.{part}", F.array()))) for part in ("images", "annotations", "categories"))
+def coco(spark: SparkSession, path: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The images, annotations and categories of COCO files, each as a table; tasks read parts of a file."""
+    found = elements(spark, path, sections=True, chunk=chunk)
+    return tuple(found.filter(F.col("section") == n).select(F.from_json("element", kind).alias("e")).select("e.*") for n, kind in SECTIONS.items())
 
 
 def labelled_annotations(images: DataFrame, annotations: DataFrame, categories: DataFrame, leaf: str, wanted: str) -> DataFrame:
@@ -64,13 +70,28 @@ def rle_decode(counts: Column) -> Column:
 
 
 def sniff(document: Column) -> Column:
-    """What an annotation document looks like by its keys: coco, tasks, json_min, object or unknown."""
-    keys = F.json_object_keys(document)
-    has = lambda *names: F.forall(F.array(*[F.lit(n) for n in names]), lambda n: F.array_contains(keys, n))
-    first = F.json_object_keys(F.get_json_object(document, "$[0]"))
-    whole = F.when(keys.isNotNull(), F.when(has("images", "annotations", "categories"), "coco").otherwise("object"))
-    listed = F.when(first.isNotNull(), F.when(F.array_contains(first, "annotations"), "tasks").when(F.array_contains(first, "image"), "json_min").otherwise("object"))
-    return F.coalesce(whole, listed, F.lit("unknown"))
+    """What a text looks like as an annotation document: coco, tasks, json_min, object, list, scalar, or broken if it isn't JSON.
+
+    The text is parsed once, to a variant, whose parts tell; the first element speaks for a list. Null for null.
+    """
+
+    def told(v: Column) -> Column:
+        at = lambda path, kind: F.try_variant_get(v, path, kind)
+        has = lambda path: at(path, "variant").isNotNull()
+        kind = F.schema_of_variant(v)
+        lists = has("$.images[0]") | (at("$.images", "array<variant>").isNotNull())
+        coco = lists & at("$.annotations", "array<variant>").isNotNull() & at("$.categories", "array<variant>").isNotNull()
+        whole = F.when(coco, "coco").otherwise("object")
+        first = F.when(at("$[0].annotations", "array<variant>").isNotNull() & has("$[0].data"), "tasks").when(at("$[0].image", "string").isNotNull(), "json_min").otherwise("list")
+        return F.when(kind.startswith("OBJECT"), whole).when(kind.startswith("ARRAY"), first).otherwise("scalar")
+
+    return F.when(document.isNotNull(), F.coalesce(F.when(F.try_parse_json(document).isNotNull(), told(F.try_parse_json(document))), F.lit("broken")))
+
+
+def sniffed_schema(documents: DataFrame, column: str, *keys: str) -> DataFrame:
+    """(keys, n, n_broken, schema): how many documents there are, how many aren't JSON, and the one schema that holds the rest."""
+    v = F.try_parse_json(column)
+    return documents.groupBy(*keys).agg(F.count(column).alias("n"), F.count_if(F.col(column).isNotNull() & v.isNull()).alias("n_broken"), F.schema_of_variant_agg(v).alias("schema"))
 
 
 def letterbox(width: Column, height: Column, side: int) -> Column:

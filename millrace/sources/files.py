@@ -21,6 +21,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Files at a path, or in a folder, with their sizes; hidden ones and markers are left out, and a path that isn't there has none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(p):
+        return []
+    found = [(f.getPath().toString(), f.getLen()) for f in store.listStatus(p) if f.isFile()]
+    return sorted((f, n) for f, n in found if not f.rsplit("/", 1)[-1].startswith(("_", ".")))
+
+
 def image_tree(spark: SparkSession, *roots: str, content: bool = False) -> DataFrame:
     """(path, category, filename, length, modificationTime[, content]) of image files below the roots; roots that aren't there are skipped.
 
