@@ -53,11 +53,11 @@ def greedy_keep(items: DataFrame, pairs: DataFrame, key: str = "k") -> DataFrame
             return state.filter("s = 1").select(F.col("k").alias(key))
 
 
-def knn_mean_distance(items: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 3) -> DataFrame:
+def knn_mean_distance(items: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 3, block: int = 4096) -> DataFrame:
     """(key, mean_distance): the mean Euclidean distance of each item to its k nearest rows of the reference, itself left out."""
     from .neighbours import nearest_distances
 
-    found = nearest_distances(items, reference, key, vector, k)
+    found = nearest_distances(items, reference, key, vector, k, block=block)
     return found.select(key, (F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d")).alias("mean_distance"))
 
 

@@ -35,8 +35,10 @@ def medians(df: DataFrame, value: str, *keys: str, inside: int = INSIDE) -> Data
     while not bracket.filter(wide).isEmpty():
         within = lambda b: rows.join(b, _same(key_list) & (F.col("_v") >= F.col("low")) & (F.col("_v") <= F.col("high"))) if keys else rows.crossJoin(F.broadcast(b)).filter("_v >= low AND _v <= high")
         sketch = within(bracket.filter(wide)).groupBy(*names, "n", "below", "held").agg(F.kll_sketch_agg_double("_v").alias("s"))
-        share = lambda rank, by: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rank - F.col("below")) / F.col("held") + by))
-        ends = cut(sketch.select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(names)], F.kll_sketch_get_quantile_double("s", share(lower, -SLACK)).alias("from"), F.kll_sketch_get_quantile_double("s", share(upper, SLACK)).alias("to")))
+        # a sketch is asked for constant shares only, so for a grid of them, of which the next ones outwards serve
+        grid = F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(i / 100) for i in range(101)]))
+        share = lambda rank, by: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rank - F.col("below")) / F.col("held") + by)) * 100
+        ends = cut(sketch.select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(names)], F.get(grid, F.floor(share(lower, -SLACK)).cast("int")).alias("from"), F.get(grid, F.ceil(share(upper, SLACK)).cast("int")).alias("to")))
         tied = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_e{i}")) for i, c in enumerate(names)], F.lit(True))
         tried = bracket.filter(wide).join(ends, tied)
         counts = within(tried).groupBy(*names).agg(F.count_if(F.col("_v") < F.col("from")).alias("under"), F.count_if(F.col("_v") > F.col("to")).alias("over"))

@@ -103,8 +103,9 @@ def nearest_distances(items: DataFrame, reference: DataFrame, key: str, vector:
                 rows, cell = np.arange(len(away)), mine[at : at + 1024]
                 plane = (away**2 - away[rows, cell][:, None] ** 2) / (2 * between[cell])
                 least = np.maximum(away - radius, plane)
-                least[rows, cell] = np.inf
-                r, c = np.nonzero(least <= (bound[at : at + 1024] * (1 + 1e-9) + 1e-9)[:, None])
+                visit = (least <= (bound[at : at + 1024] * (1 + 1e-9) + 1e-9)[:, None]) & np.isfinite(radius)
+                visit[rows, cell] = False
+                r, c = np.nonzero(visit)
                 taken = part.take(pa.array(r))
                 yield pa.RecordBatch.from_arrays([*(taken.column(i) for i in range(3)), pa.array(c, pa.int32()), taken.column(4)], names=["item", "v", "own", "cell", "bound"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..operators.keys import first_present, number, output_stem, path_parts, pre
 from ..operators.rules import reason_code
 from ..plans.relations import MANIFEST, REPORT, manifest, report, table, with_
 from ..registry import query
+from ..session import shared_folder
+from ..sources.sinks import write_complete
 
 CLASSES = ("en", "fr", "de", "es")
 
@@ -78,9 +82,11 @@ def prj_sentinel_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS n, count(*) FILTER (quality IS NULL OR toxic IS NULL) AS n_dropped, count(*) FILTER (quality IS NOT NULL AND toxic IS NOT NULL) AS n_kept FROM j"""
 )
 def flt_dropna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    lacks = F.col("quality").isNull() | F.col("toxic").isNull()
-    return j.agg(F.count("*").alias("n"), F.count_if(lacks).alias("n_dropped"), F.count_if(~lacks).alias("n_kept"))
+    """How many rows there were and went, counted while they were written, and how many the written table has."""
+    j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "quality", "toxic")
+    path = f"{shared_folder(spark)}/complete-{uuid.uuid4().hex}"
+    seen = write_complete(j, path, "quality", "toxic")
+    return spark.read.schema(j.schema).parquet(path).agg(F.lit(seen["n"]).cast("long").alias("n"), F.lit(seen["n_dropped"]).cast("long").alias("n_dropped"), F.count("*").alias("n_kept"))
 
 
 @query(with_(MANIFEST) + "SELECT category, count(*) AS n FROM manifest WHERE split <> 'test' GROUP BY category")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exact import exact_avg
@@ -13,7 +13,7 @@ from ..operators.setops import ragged_union, upsert
 from ..plans.relations import REPORT, VARIANTS, report, table, variants, with_
 from ..registry import query
 from ..session import shared_folder
-from ..sources.sinks import label_line, numbered_names, updated_setting, write_pseudo_labels
+from ..sources.sinks import detector_dataset, html_rows, label_line, promoted, quarantine, text_report, updated_setting, write_pseudo_labels
 
 
 @query("SELECT s_suppkey, s_name, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS s_acctbal, NULL::varchar AS note FROM supplier")
@@ -70,11 +70,17 @@ def snk_enrich_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(tests, "variant", "left").select("variant", "s_name", "test_recall", "test_dice", F.coalesce("_m", F.lit(False)).alias("matched"))
 
 
-@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN 'mode_b/stage1/' || c_name END, CASE WHEN c_custkey % 3 = 0 THEN 'mode_b/stage2/' || c_name END, CASE WHEN c_custkey % 5 = 0 THEN 'mode_a/stage1/' || c_name END) AS artefact FROM customer")
+@query(
+    """SELECT c_custkey, coalesce((SELECT min('mode_b/stage1/' || lpad(o_orderkey::varchar, 10, '0')) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P'),
+  (SELECT min('mode_b/stage2/' || o_clerk) FROM (SELECT o_custkey, lpad(o_orderkey::varchar, 10, '0') AS o_clerk FROM orders WHERE o_totalprice > 400000) o WHERE o_custkey = c_custkey),
+  (SELECT min('mode_a/stage1/' || s_name) FROM supplier WHERE s_suppkey = c_custkey)) AS artefact FROM customer"""
+)
 def snk_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    paths = [F.when(k % m == 0, F.concat(F.lit(p), F.col("c_name"))) for m, p in ((2, "mode_b/stage1/"), (3, "mode_b/stage2/"), (5, "mode_a/stage1/"))]
-    return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(*paths).alias("artefact"))
+    """The winner's artefact of each customer, looked for in three tables by priority."""
+    orders, supplier = table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier")
+    stage = lambda rows, prefix: rows.select(F.col("o_custkey").alias("c_custkey"), F.concat(F.lit(prefix), F.lpad(F.col("o_orderkey").cast("string"), F.lit(10), F.lit("0"))).alias("artefact"))
+    other = supplier.select(F.col("s_suppkey").alias("c_custkey"), F.concat(F.lit("mode_a/stage1/"), "s_name").alias("artefact"))
+    return promoted(table(spark, sf_dir, "customer"), "c_custkey", stage(orders.filter("o_orderstatus = 'P'"), "mode_b/stage1/"), stage(orders.filter("o_totalprice > 400000"), "mode_b/stage2/"), other)
 
 
 @query("SELECT doc_id, upper(lang) || '_' || source AS named, printf('%s_%06d', lang, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::int) AS numbered FROM documents")
@@ -90,25 +96,45 @@ def snk_config_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT doc_id, source || '.jpg' AS name, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS k FROM documents WHERE n_chars < 1000)
-SELECT doc_id, CASE WHEN k = 0 THEN name ELSE replace(name, '.jpg', '') || '_' || k::varchar || '.jpg' END AS stored_as FROM q"""
+    """WITH q AS (SELECT doc_id, lang, source || '.jpg' AS name, CASE WHEN n_chars < 400 THEN 'tiny' ELSE 'short' END AS reason_code, doc_id % 3 <> 0 AS later FROM documents WHERE n_chars < 1000),
+  k AS (SELECT *, row_number() OVER (PARTITION BY reason_code, lang, name ORDER BY later, doc_id) - 1 AS k FROM q)
+SELECT doc_id, reason_code, lang AS category, CASE WHEN k = 0 THEN name ELSE replace(name, '.jpg', '') || '_' || k::varchar || '.jpg' END AS stored_as FROM k"""
 )
 def snk_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rejected = table(spark, sf_dir, "documents").filter("n_chars < 1000").select("doc_id", "lang", F.concat("source", F.lit(".jpg")).alias("name"))
-    return numbered_names(rejected, ["lang"], "name", "doc_id").select("doc_id", "stored_as")
+    """What the folders hold after three runs: a part of the rejected rows, then all of them, then all again."""
+    code = F.when(F.col("n_chars") < 400, "tiny").otherwise("short")
+    rejected = table(spark, sf_dir, "documents").filter("n_chars < 1000").select("doc_id", F.concat("source", F.lit(".jpg")).alias("name"), code.alias("reason_code"), F.col("lang").alias("category"))
+    path = f"{shared_folder(spark)}/quarantine-{uuid.uuid4().hex}"
+    for run in (rejected.filter("doc_id % 3 = 0"), rejected, rejected):
+        held = quarantine(run, path, "doc_id", "name")
+    return held.select("doc_id", "reason_code", "category", "stored_as")
 
 
-@query("SELECT p_partkey, printf('0 %.6f %.6f %.6f %.6f', p_size / 100.0::double, 0.5::double, p_size / 50.0::double, 0.25::double) AS line FROM part")
+@query(
+    """SELECT p_partkey::varchar AS stem, CASE WHEN p_partkey % 5 = 0 THEN 'val' ELSE 'train' END AS split, printf('0 %.6f %.6f %.6f %.6f', p_size / 100.0::double, 0.5::double, p_size / 50.0::double, 0.25::double) AS line FROM part"""
+)
 def snk_yolo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label lines written by split, and what is read back; the val split is written again, and train stays."""
     size = F.col("p_size").cast("double")
     box = F.struct((size / 100).alias("cx"), F.lit(0.5).alias("cy"), (size / 50).alias("w"), F.lit(0.25).alias("h"))
-    return table(spark, sf_dir, "part").select("p_partkey", label_line(box).alias("line"))
+    split = F.when(F.col("p_partkey") % 5 == 0, "val").otherwise("train")
+    boxes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("stem"), split.alias("split"), label_line(box).alias("line"))
+    path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
+    for run in (boxes, boxes.filter("split = 'val'")):
+        detector_dataset(run, path, ["leaf"])
+    return spark.read.schema("stem string, line string, split string").csv(f"{path}/labels").select("stem", "split", "line")
 
 
-@query(with_(REPORT) + "SELECT category, round(avg(coverage), 6) AS mean_coverage, avg(coverage) = max(avg(coverage)) OVER () AS best FROM report GROUP BY category")
+@query(
+    with_(REPORT)
+    + """, m AS (SELECT category, count(*) AS n, round(avg(coverage), 6) AS mean_coverage FROM report GROUP BY category)
+SELECT 0 AS row_no, '<tr><th>category</th><th>n</th><th>mean_coverage</th></tr>' AS html
+UNION ALL SELECT row_number() OVER (ORDER BY category), CASE WHEN n = max(n) OVER () THEN '<tr class="best">' ELSE '<tr>' END || '<td>&lt;' || category || '&gt;</td><td>' || n::varchar || '</td><td>' || mean_coverage::varchar || '</td></tr>' FROM m"""
+)
 def snk_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = report(spark, sf_dir).groupBy("category").agg(exact_avg("coverage").alias("m"))
-    return m.select("category", F.round("m", 6).alias("mean_coverage"), (F.col("m") == F.max("m").over(Window.partitionBy())).alias("best"))
+    """A table's rows in HTML, the best one marked."""
+    m = report(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.round(exact_avg("coverage"), 6).alias("mean_coverage"))
+    return html_rows(m.withColumn("category", F.concat(F.lit("<"), "category", F.lit(">"))), "category", "n")
 
 
 @query("SELECT l_suppkey % 4 AS mode, l_suppkey AS stem, count(*) AS n, round(avg(l_discount * 1000), 6) AS severity FROM lineitem GROUP BY l_suppkey")
@@ -135,7 +161,13 @@ def snk_codegen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(branches(COVERAGE_WEIGHTS).split("\n"), 1)), "line int, source string")
 
 
-@query("SELECT o_orderstatus AS label, count(*) AS n, printf('%s %d', o_orderstatus, count(*)) AS line FROM orders GROUP BY o_orderstatus")
+@query(
+    """WITH c AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1), w AS (SELECT greatest(max(length(label)), 5) AS w, sum(n) AS total, count(*) AS k FROM c)
+SELECT 1 AS line_no, 'Orders by priority' AS line UNION ALL SELECT 2, repeat('=', w + 16) FROM w
+UNION ALL SELECT row_number() OVER (ORDER BY n DESC, label) + 2, '  ' || rpad(label, w::int, ' ') || lpad(format('{:,}', n), 14, ' ') FROM c, w
+UNION ALL SELECT k + 3, repeat('-', w + 16) FROM w UNION ALL SELECT k + 4, '  ' || rpad('total', w::int, ' ') || lpad(format('{:,}', total::bigint), 14, ' ') FROM w"""
+)
 def snk_txt_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("label")).agg(F.count("*").alias("n"))
-    return n.withColumn("line", F.format_string("%s %d", "label", "n"))
+    """An aligned report, line by line."""
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n"))
+    return text_report("Orders by priority", n, "label", "n")

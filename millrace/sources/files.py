@@ -71,9 +71,15 @@ def csv_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) ->
 
 
 def csv_glob(spark: SparkSession, paths: Sequence[str], name_pattern: str, key: str) -> DataFrame:
-    """Small CSV files with headers of their own, under one another, each with a key from its name; missing columns are null."""
-    parts = [spark.read.csv(p, header=True).withColumn(key, F.regexp_extract(F.col("_metadata.file_name"), name_pattern, 1)) for p in paths]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    """Small CSV files with headers of their own, under one another, each with a key from its name; missing columns are null.
+
+    One pass finds the headers; files that share one are read together, so the plan grows with the headers and not with
+    the files.
+    """
+    heads = spark.read.text(list(paths), wholetext=True).select(F.regexp_replace(F.substring_index("value", "\n", 1), "\r$", "").alias("head"), F.col("_metadata.file_path").alias("path"))
+    found = heads.filter("head <> ''").groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("head").collect()
+    parts = [spark.read.csv(r["paths"], header=True).withColumn(key, F.regexp_extract(F.col("_metadata.file_name"), name_pattern, 1)) for r in found]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else spark.createDataFrame([], f"{key} string")
 
 
 def text_number(texts: DataFrame, column: str, pattern: str, name: str) -> DataFrame:

@@ -150,7 +150,7 @@ def test_suffix_match_prefers_the_exact_name(spark):
     assert dict(one(suffix_match(names, targets, "name", "t", "o"))) == {"ab.png": 2, "x_ab.png": 1, "none": None}
 
 
-def test_annotations(spark):
+def test_annotations(spark, tmp_path):
     docs = [
         '[{"data": {"image": "/d/ab-one.jpg"}, "annotations": [{"result": [{"type": "polygonlabels", "value": {"points": [[0, 0], [50, 0], [50, 100]]}}, {"type": "brush", "value": {"points": [[0, 0], [1, 1], [2, 2]]}}]}]}]',
         '[{"data": {"image": "two.jpg"}}, {"data": {"image": "three.jpg"}, "annotations": [{"result": [{"type": "polygonlabels", "value": {"points": [[0, 0], [1, 1]]}}]}]}]',
@@ -158,10 +158,12 @@ def test_annotations(spark):
         "no json",
     ]
     df = spark.createDataFrame([(d,) for d in docs], "doc string")
-    t = A.tasks(df, "doc")
+    for i, d in enumerate(docs[:2]):
+        (tmp_path / f"{i}.json").write_text(d)
+    t = A.tasks(spark, str(tmp_path), chunk=40)
     assert [r["stem"] for r in A.polygons(t).collect()] == ["one"]
     assert one(A.first_boxes(t)) == [("one", 0.25, 0.5, 0.5, 1.0)]
-    assert [r[0] for r in df.select(A.sniff(F.col("doc"))).collect()] == ["tasks", "object", "coco", "unknown"]
+    assert [r[0] for r in df.select(A.sniff(F.col("doc"))).collect()] == ["tasks", "list", "coco", "broken"]
     assert spark.range(1).select(A.rle_decode(F.array(F.lit(2), F.lit(1), F.lit(0), F.lit(1)))).first()[0] == [0, 0, 1, 1]
 
 
@@ -183,13 +185,16 @@ def test_files(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("A", 5), ("B", 1234567)], "label string, n long")
-    assert "1,234,567" in sinks.text_report("Counts", df, "label", "n")
-    assert "class=best" in sinks.html_table(df, "n") and "<td>A</td>" in sinks.html_table(df)
+    lines = [r["line"] for r in sinks.text_report("Counts", df, "label", "n").orderBy("line_no").collect()]
+    assert lines[0] == "Counts" and lines[2] == "  B         1,234,567" and lines[5] == "  total     1,234,572" and len({len(x) for x in lines[1:]}) == 1
+    rows = {r["row_no"]: r["html"] for r in sinks.html_rows(df, "label", "n").collect()}
+    assert rows[1] == "<tr><td>A</td><td>5</td></tr>" and rows[2].startswith('<tr class="best">') and rows[0] == "<tr><th>label</th><th>n</th></tr>"
+    assert [r["line"] for r in sinks.text_report("None", df.limit(0), "label", "n").orderBy("line_no").collect()][-1] == "  total             0"
     sinks.write_csv(df, str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 2
     sinks.write_pseudo_labels(df.withColumnRenamed("label", "mode"), str(tmp_path / "labels"))
     assert (tmp_path / "labels" / "mode=A").is_dir()
-    sinks.quarantine(df.select(F.col("label").alias("category"), F.lit("low").alias("reason_code"), "n"), str(tmp_path / "q"))
+    sinks.quarantine(df.select(F.col("label").alias("category"), F.lit("low").alias("reason_code"), "n", F.lit("x.jpg").alias("name")), str(tmp_path / "q"), "n", "name")
     assert (tmp_path / "q" / "reason_code=low" / "category=B").is_dir()
 
 
