@@ -3,26 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hamming_bands(code: Column, distance: int = 2) -> Column:
-    """Keys of which two 64-bit codes within the distance share one at least: the number and the bits of each band."""
-    edges = [64 * k // (distance + 1) for k in range(distance + 2)]
-    masks = [(1 << b) - (1 << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+def hamming_bands(code: Column, distance: int = 2, blocks: int | None = None) -> Column:
+    """Keys of which two 64-bit codes within the distance share one at least: bits of ``blocks`` blocks, without each ``distance`` of them.
+
+    The more blocks, the longer a key: of distance 2, three blocks give 3 keys of 21 bits, four 6 of 32, six 15 of 42.
+    """
+    blocks = blocks or distance + 1
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    masks = [sum(m for i, m in enumerate(parts) if i not in gone) for gone in combinations(range(blocks), distance)]
     return F.array(*[F.struct(F.lit(n).alias("band"), code.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for n, m in enumerate(masks)])
 
 
-def hamming_pairs(df: DataFrame, key: str, code: str, distance: int = 2, same: Sequence[str] = (), other: str | None = None) -> DataFrame:
+def hamming_blocks(n: int, distance: int = 2) -> int:
+    """How many blocks keep keys, if codes were even, to about as many rows as there are keys."""
+    return next((b for b in range(distance + 1, distance + 5) if n <= 1 << (64 * (b - distance) // b - 4)), distance + 5)
+
+
+def hamming_pairs(df: DataFrame, key: str, code: str, distance: int = 2, same: Sequence[str] = (), other: str | None = None, blocks: int | None = None) -> DataFrame:
     """(a, b, distance): pairs of keys a < b within the distance, equal in the columns of ``same``, not equal in ``other``; each pair once.
 
-    An equality join on bands, so that its cost follows the bands' sharing and not the square of the rows. Give it
-    each code once where copies share their fate: distinct_codes().
+    An equality join on bands, whose bits follow the number of rows, so that its cost follows the pairs there are and not
+    the square of the rows. Give it each code once where copies share their fate: distinct_codes().
     """
+    blocks = blocks or hamming_blocks(df.count(), distance)
     kept = [*same, *([other] if other else [])]
-    rows = df.select(F.col(key).alias("k"), F.col(code).alias("c"), *kept, F.explode(hamming_bands(F.col(code), distance)).alias("b"))
+    rows = df.select(F.col(key).alias("k"), F.col(code).alias("c"), *kept, F.explode(hamming_bands(F.col(code), distance, blocks)).alias("b"))
     left = rows.select(F.col("k").alias("a"), F.col("c").alias("ca"), *same, *([F.col(other).alias("oa")] if other else []), "b.band", "b.bits")
     right = rows.select(F.col("k").alias("b"), F.col("c").alias("cb"), *same, *([F.col(other).alias("ob")] if other else []), "b.band", "b.bits")
     apart = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))

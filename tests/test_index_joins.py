@@ -6,7 +6,7 @@ import statistics
 import numpy as np
 import pytest
 
-from millrace.operators.joins import contains_match, suffix_match
+from millrace.operators.joins import contains_match, hamming_blocks, hamming_pairs, suffix_match
 from millrace.operators.medians import medians
 from millrace.operators.neighbours import nearest_distances
 
@@ -84,3 +84,16 @@ def test_medians(spark, inside):
     assert got == {k: statistics.median(v) for k, v in groups.items()}
     every = [v for vs in groups.values() for v in vs]
     assert [x[0] for x in medians(df, "v", inside=inside).collect()] == [statistics.median(every)]
+
+
+@pytest.mark.parametrize("blocks", [None, 3, 4, 6])
+def test_hamming_pairs_with_more_blocks(spark, blocks):
+    r = random.Random(5)
+    codes = []
+    for _ in range(40):
+        base = r.getrandbits(64)
+        codes += [base, base ^ (1 << r.randrange(64)), base ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)), base ^ 7]
+    rows = [(i, c - (1 << 64) * (c >> 63)) for i, c in enumerate(codes)]
+    got = {(x["a"], x["b"]) for x in hamming_pairs(spark.createDataFrame(rows, "k long, c long"), "k", "c", 2, blocks=blocks).collect()}
+    assert got == {(i, j) for j in range(len(codes)) for i in range(j) if (codes[i] ^ codes[j]).bit_count() <= 2}
+    assert [hamming_blocks(n) for n in (1000, 10**6, 10**9, 10**11)] == [3, 4, 5, 6]
