@@ -15,11 +15,12 @@ from .common import cut
 PART = 2048
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, per_task: int | None = None) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b; long): the label is the smallest node that can be reached.
 
     Alternates large-star and small-star steps until they change nothing. Minima combine map-side, edges are cut to a
-    checkpoint in each round, and no group of neighbours is ever gathered.
+    checkpoint in each round, and no group of neighbours is ever gathered. With ``per_task``, a task holds about so many
+    edges, so that few edges don't make many small files.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     state = None
@@ -28,13 +29,15 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b"), F.col("b"))).distinct() if now[0] else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
         state = now
+        fewer = (lambda df: df.coalesce(-(-now[0] // per_task))) if per_task else (lambda df: df)
+        edges = fewer(edges)
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = cut(large)
+        large = cut(fewer(large))
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", "m")).filter("a <> b").distinct()
-        edges = cut(small)
+        edges = cut(fewer(small))
 
 
 def with_parts(rows: DataFrame, keys: list[str], by: str, part: int = PART, keys_alone: DataFrame | None = None) -> DataFrame:
