@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stored
 
 #: Values inside a bracket that are sorted; a group with more gets a narrower bracket first.
 INSIDE = 1 << 20
@@ -28,7 +28,7 @@ def medians(df: DataFrame, value: str, *keys: str, inside: int = INSIDE) -> Data
     key_list = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     first = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 0")
-    bracket = cut(first.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "n", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0).cast("long").alias("below"), F.col("n").alias("held"), F.lit(False).alias("stuck")))
+    bracket = stored(first.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "n", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0).cast("long").alias("below"), F.col("n").alias("held"), F.lit(False).alias("stuck")))
     names = [f"_b_{k}" for k in keys]
     lower, upper = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)  # ranks from 0
     wide = (F.col("held") > inside) & (F.col("low") < F.col("high")) & ~F.col("stuck")
@@ -38,7 +38,7 @@ def medians(df: DataFrame, value: str, *keys: str, inside: int = INSIDE) -> Data
         # a sketch is asked for constant shares only, so for a grid of them, of which the next ones outwards serve
         grid = F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(i / 100) for i in range(101)]))
         share = lambda rank, by: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rank - F.col("below")) / F.col("held") + by)) * 100
-        ends = cut(sketch.select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(names)], F.get(grid, F.floor(share(lower, -SLACK)).cast("int")).alias("from"), F.get(grid, F.ceil(share(upper, SLACK)).cast("int")).alias("to")))
+        ends = stored(sketch.select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(names)], F.get(grid, F.floor(share(lower, -SLACK)).cast("int")).alias("from"), F.get(grid, F.ceil(share(upper, SLACK)).cast("int")).alias("to")))
         tied = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_e{i}")) for i, c in enumerate(names)], F.lit(True))
         tried = bracket.filter(wide).join(ends, tied)
         counts = within(tried).groupBy(*names).agg(F.count_if(F.col("_v") < F.col("from")).alias("under"), F.count_if(F.col("_v") > F.col("to")).alias("over"))
@@ -47,7 +47,7 @@ def medians(df: DataFrame, value: str, *keys: str, inside: int = INSIDE) -> Data
         raise_ = F.coalesce(F.col("below") + F.col("under") <= lower, F.lit(False))
         drop = F.coalesce(F.col("below") + F.col("held") - F.col("over") > upper, F.lit(False))
         lost = F.when(raise_, F.col("under")).otherwise(F.lit(0)) + F.when(drop, F.col("over")).otherwise(F.lit(0))
-        bracket = cut(
+        bracket = stored(
             met.select(
                 *names, "n", F.when(raise_, F.col("from")).otherwise(F.col("low")).alias("low"), F.when(drop, F.col("to")).otherwise(F.col("high")).alias("high"),
                 (F.col("below") + F.when(raise_, F.col("under")).otherwise(F.lit(0))).alias("below"), (F.col("held") - lost).alias("held"), (F.col("stuck") | (wide & (lost == 0))).alias("stuck"),
