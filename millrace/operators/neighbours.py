@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Pivots at most: with their cells' radii, all that tasks are sent.
+#: Pivots at most: with their cells' radii, all that tasks are sent. There is one for each block of reference vectors, so that items
+#: whose bounds rule nothing out are copied once a block.
 PIVOTS = 1024
 VISIT = "item long, v array<double>, own array<double>, cell int, bound double"
 
@@ -68,7 +69,7 @@ def nearest_distances(items: DataFrame, reference: DataFrame, key: str, vector:
     given = lambda df: df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.coalesce(F.forall("v", lambda x: x.isNotNull()), F.lit(False)))
     rows, others = given(items), given(reference)
     known = cut(others.groupBy("v").agg(F.count("*").alias("n")))
-    chosen = known.orderBy(F.xxhash64("v"), "v").limit(max(1, min(pivots, int(known.count() ** 0.5)))).collect()
+    chosen = known.orderBy(F.xxhash64("v"), "v").limit(max(1, min(pivots, -(-known.count() // block)))).collect()
     if not chosen:
         return rows.select(F.col("id").alias(key), F.array().cast("array<double>").alias("d")).limit(0)
     middles = np.array([r["v"] for r in chosen])

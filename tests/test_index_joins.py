@@ -43,7 +43,7 @@ def test_few_pairs_are_compared(spark):
     middles = r.uniform(-50, 50, (40, 16))
     rows = [(i, (middles[i % 40] + r.normal(0, 0.5, 16)).tolist()) for i in range(4000)]
     df, seen = spark.createDataFrame(rows, VECTORS).repartition(4), []
-    assert nearest_distances(df, df, "id", "v", visited=seen).count() == 4000
+    assert nearest_distances(df, df, "id", "v", block=100, visited=seen).count() == 4000
     assert seen[:2] == [4000, 4000] and seen[2] < 0.1 * 4000 * 4000
 
 
