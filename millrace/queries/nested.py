@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.runs import area, filled, from_lengths, intersection, iou, union
-from ..plans.relations import table
+from ..functions.run_batches import polygon_mask_overlap, polygon_overlap
+from ..plans.relations import dealt, table
 from ..registry import query
 from ..session import shared_folder
 from ..sources import annotations as A
@@ -167,8 +167,11 @@ def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = lambda x, y: F.array((x + F.lit(0.0)).cast("double"), (y + F.lit(0.0)).cast("double"))
     a = F.array(point(size % 13 + 0.25, F.lit(1.5)), point(22.75 - key % 7, key % 5 + 3.0), point(key % 11 + 4.0, F.lit(23.5)))
     b = F.array(point(F.lit(2.0), size % 9 + 0.5), point(F.lit(20.5), key % 6), point(23.0 - size % 4, F.lit(20.25)), point(key % 8, F.lit(22.0)))
-    masks = [filled(p, F.lit(24), F.lit(24)).alias(n) for p, n in ((a, "a"), (b, "b"))]
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size", *masks)
+    return dealt(table(spark, sf_dir, "part")).select("p_partkey", "p_size", a.alias("a"), b.alias("b"))
+
+
+def _iou() -> Column:
+    return F.round(F.when(F.col("either") == 0, F.lit(1.0)).otherwise(F.col("both") / F.col("either")), 9)
 
 
 @query(
@@ -177,8 +180,8 @@ SELECT p_partkey, count(*) FILTER (a) AS area_a, count(*) FILTER (b) AS area_b,
 )
 def met_iou_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IoU of two polygons by their runs."""
-    s = _shapes(spark, sf_dir)
-    return s.select("p_partkey", area(F.col("a")).alias("area_a"), area(F.col("b")).alias("area_b"), area(union(F.col("a"), F.col("b"))).alias("area_either"), F.round(iou(F.col("a"), F.col("b")), 9).alias("iou"))
+    s = _shapes(spark, sf_dir).select("p_partkey", polygon_overlap("a", "b").alias("o")).select("p_partkey", "o.*", F.expr("o.a + o.b - o.both").alias("either"))
+    return s.select("p_partkey", F.col("a").alias("area_a"), F.col("b").alias("area_b"), F.col("either").alias("area_either"), _iou().alias("iou"))
 
 
 @query(
@@ -189,6 +192,6 @@ FROM c LEFT JOIN u USING (p_partkey, k) GROUP BY c.p_partkey"""
 )
 def met_iou_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IoU of a polygon and a mask in run lengths, which is never decoded."""
-    mask = from_lengths(F.array(F.col("p_size") % 40, F.col("p_size") * 3 + 20, F.col("p_partkey") % 50, F.lit(60)))
-    s = _shapes(spark, sf_dir).select("p_partkey", "a", mask.alias("m"))
-    return s.select("p_partkey", area(F.col("m")).alias("area_rle"), area(intersection(F.col("a"), F.col("m"))).alias("area_both"), F.round(iou(F.col("a"), F.col("m")), 9).alias("iou"))
+    lengths = F.array(F.col("p_size") % 40, F.col("p_size") * 3 + 20, F.col("p_partkey") % 50, F.lit(60)).cast("array<bigint>")
+    s = _shapes(spark, sf_dir).select("p_partkey", polygon_mask_overlap("a", lengths).alias("o")).select("p_partkey", "o.*", F.expr("o.a + o.b - o.both").alias("either"))
+    return s.select("p_partkey", F.col("b").alias("area_rle"), F.col("both").alias("area_both"), _iou().alias("iou"))

@@ -59,3 +59,21 @@ def test_a_large_frame_stays_runs(spark):
     p = F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (2000.0, 0.0), (2000.0, 2000.0), (0.0, 2000.0))])
     m = filled(p, F.lit(2000), F.lit(2000))
     assert spark.range(1).select(F.size(m), area(m)).first()[:] == (1, 4_000_000)
+
+
+def test_batches_of_runs_equal_runs_of_rows(spark):
+    """The polygon queries' kernels on whole batches, against the column functions; rows are dealt, however few files there are."""
+    from millrace.functions.run_batches import polygon_mask_overlap, polygon_overlap
+    from millrace.functions.runs import intersection
+    from millrace.plans.relations import dealt
+
+    r = random.Random(3)
+    polygon = lambda: [[r.choice([float(r.randint(-3, 27)), r.uniform(-5, 30)]), r.uniform(-5, 30)] for _ in range(r.randint(0, 7))]
+    rows = [(k, polygon(), polygon(), [r.randint(0, 90) for _ in range(r.randint(0, 9))]) for k in range(300)] + [(300, None, polygon(), None)]
+    df = spark.createDataFrame(rows, "k int, p array<array<double>>, q array<array<double>>, n array<bigint>").coalesce(1)
+    assert dealt(df).rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    frame = F.lit(24)
+    a, b, m = filled(F.col("p"), frame, frame), filled(F.col("q"), frame, frame), from_lengths(F.coalesce("n", F.array().cast("array<bigint>")))
+    plain = df.select("k", a.alias("a"), b.alias("b"), m.alias("m")).select("k", *[area(F.col(c)) for c in "abm"], area(intersection(F.col("a"), F.col("b"))), area(intersection(F.col("a"), F.col("m"))))
+    got = dealt(df).select("k", polygon_overlap("p", "q").alias("o"), polygon_mask_overlap("p", "n").alias("l")).select("k", "o.a", "o.b", "l.b", "o.both", "l.both")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
