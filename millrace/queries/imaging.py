@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.relations import table
+from ..plans.relations import dealt, table
 from ..registry import query
 
 
@@ -38,7 +38,7 @@ def udf_polygon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda x, y: F.array(x.cast("double"), y.cast("double"))
     size, key = F.col("p_size"), F.col("p_partkey")
     triangle = F.array(at(F.lit(5), F.lit(5)), at(F.lit(5) + size, F.lit(10)), at(F.lit(20), key % 80 + 15))
-    return table(spark, sf_dir, "part").select("p_partkey", polygon_cells(F.array(triangle)).alias("cells"))
+    return dealt(table(spark, sf_dir, "part")).select("p_partkey", polygon_cells(F.array(triangle)).alias("cells"))
 
 
 @query("SELECT doc_id // 32 AS batch, count(*) FILTER (n_chars >= 100) AS n, count(*) FILTER (n_chars < 100) AS skipped, sum(n_chars) FILTER (n_chars >= 100)::bigint AS total FROM documents GROUP BY 1 HAVING count(*) FILTER (n_chars >= 100) > 0")

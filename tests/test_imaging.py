@@ -130,3 +130,10 @@ def test_kernels_pass_nulls(spark):
     rows = {r["k"]: r for r in df.select("k", I.perceptual_hash("v").alias("h"), I.main_region("v").alias("r"), I.local_contrast("v").alias("c")).collect()}
     assert rows[1]["h"] is None and rows[3]["h"] is None and rows[2]["h"] is not None
     assert rows[1]["r"]["area"] == 0 and rows[2]["r"]["area"] == 63 and rows[1]["c"] is None and len(rows[2]["c"]) == 64
+
+
+def test_polygons_of_a_small_file_are_dealt(spark):
+    from millrace.queries import QUERIES
+
+    df = QUERIES["udf_polygon_cells"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
