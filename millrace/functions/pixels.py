@@ -9,8 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def _grids(values: pd.Series) -> list[np.ndarray | None]:
@@ -133,17 +135,25 @@ MODES = T.ArrayType(T.StructType([
 ]))
 
 
-@F.pandas_udf(MODES)
-def four_modes(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+#: Images whose pseudo-labels a worker holds at once: some 260 kB each for 1,024 cells.
+IMAGES = 64
+
+
+@F.arrow_udf(MODES)
+def four_modes(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     """Red, green, blue (levels 0 to 255), leaf probability and category to the four pseudo-labels of ``leaves.fan_out``.
 
-    Null if a grid is null, empty or not as large as the others, or the category isn't known.
+    Null if a grid is null, empty or not as large as the others, or the category isn't known. A batch goes through a few
+    images at a time, since a worker's batches have as many rows whatever the size of an image.
     """
     from .leaves import SYMPTOMS, fan_out
 
-    for *channels, categories in columns:
-        out = []
-        for *grids, category in zip(*map(_grids, channels), categories, strict=True):
-            fits = category in SYMPTOMS and all(g is not None and g.shape == grids[0].shape for g in grids)
-            out.append(fan_out(np.clip(np.round(np.stack(grids[:3], -1)), 0, 255), grids[3], category) if fits else None)
-        yield pd.Series(out, dtype=object)
+    kind = to_arrow_type(MODES)
+    for whole in columns:
+        for at in range(0, len(whole[0]), IMAGES):
+            *channels, categories = (c.slice(at, IMAGES).to_pandas() for c in whole)
+            out = []
+            for *grids, category in zip(*map(_grids, channels), categories, strict=True):
+                fits = category in SYMPTOMS and all(g is not None and g.shape == grids[0].shape for g in grids)
+                out.append(fan_out(np.clip(np.round(np.stack(grids[:3], -1)), 0, 255), grids[3], category) if fits else None)
+            yield pa.array(out, kind)

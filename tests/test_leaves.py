@@ -305,3 +305,11 @@ def test_files_of_a_tree_are_decoded(spark, tmp_path):
 def test_grey_is_a_weighted_mean():
     rgb = [int(255 * v) for v in colorsys.hsv_to_rgb(0.3, 0.8, 0.6)]
     assert L.grey(np.array([[rgb]]))[0, 0] == round(0.299 * rgb[0] + 0.587 * rgb[1] + 0.114 * rgb[2])
+
+
+def test_modes_of_a_batch_go_out_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    grid = pa.array([[float(i % 7) for i in range(16)]] * 300)
+    parts = list(P.four_modes.func(iter([(grid, grid, grid, grid, pa.array(["HEALTHY", None, "MLN"] * 100))])))
+    assert [len(p) for p in parts] == [64, 64, 64, 64, 44] and sum(p.null_count for p in parts) == 100
