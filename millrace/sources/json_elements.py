@@ -21,6 +21,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .files import listed
 
 CHUNK = 16 << 20
+#: What each byte adds to the depth outside strings.
+STEPS = np.zeros(256, np.int8)
+STEPS[list(b"[{")], STEPS[list(b"]}")] = 1, -1
 _QUOTE, _BACKSLASH, _COMMA = b'"\\,'
 SCHEMA = "path string, section string, at long, element string"
 
@@ -42,16 +45,16 @@ class Marks:
 def marks(data: bytes, escaped: bool, within: bool, depth: int) -> Marks:
     """``escaped``: the first byte follows a backslash that escapes it."""
     b = np.frombuffer(data, np.uint8)
-    place = np.arange(len(b))
-    plain = np.maximum.accumulate(np.where(b != _BACKSLASH, place, -1))
+    plain = np.maximum.accumulate(np.where(b != _BACKSLASH, np.arange(len(b), dtype=np.int32), np.int32(-1)))
     quotes = np.flatnonzero(b == _QUOTE)
     before = np.where(quotes > 0, plain[np.maximum(quotes - 1, 0)], -1)
     run = quotes - 1 - before + ((before < 0) & escaped)
-    real = np.zeros(len(b), np.int64)
-    real[quotes[run % 2 == 0]] = 1
-    inside = (np.cumsum(real) + within) % 2 == 1
-    steps = np.isin(b, np.frombuffer(b"[{", np.uint8)).astype(np.int64) - np.isin(b, np.frombuffer(b"]}", np.uint8))
-    return Marks(inside, depth + np.cumsum(np.where(inside, 0, steps)))
+    del plain
+    real = np.zeros(len(b), bool)
+    real[quotes[run % 2 == 0]] = True
+    inside = np.logical_xor.accumulate(real) ^ within
+    steps = np.where(inside, np.int8(0), STEPS[b])
+    return Marks(inside, np.cumsum(steps, dtype=np.int32) + np.int32(depth))
 
 
 def _escaped(path: str, at: int) -> bool:
@@ -93,7 +96,7 @@ def _elements(partition: Chunk, sections: bool) -> Iterator[tuple[str, str | Non
             return
         m = marks(data, escaped, within, depth)
         b = np.frombuffer(data, np.uint8)
-        before = np.concatenate([[depth], m.depth[:-1]])
+        before = np.concatenate([np.array([depth], np.int32), m.depth[:-1]])
         names = dict(_keys(_read(partition.path, max(0, at - 4096), min(at, 4096)) + data, _shifted(m, min(at, 4096)))) if sections and first else {}
         ends = ~m.within & (((b == _COMMA) & (m.depth == level)) | ((m.depth == level) & (before == level - 1)) | ((m.depth == level - 1) & (before == level)))
         for k in np.flatnonzero(ends).tolist():
@@ -119,7 +122,7 @@ def _elements(partition: Chunk, sections: bool) -> Iterator[tuple[str, str | Non
 
 
 def _shifted(m: Marks, n: int) -> Marks:
-    return Marks(np.concatenate([np.ones(n, bool), m.within]), np.concatenate([np.full(n, -1), m.depth]))
+    return Marks(np.concatenate([np.ones(n, bool), m.within]), np.concatenate([np.full(n, -1, np.int32), m.depth]))
 
 
 @dataclass
@@ -177,8 +180,8 @@ def elements(spark: SparkSession, path: str, sections: bool = False, chunk: int
             out = []
             for f, at, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data, escaped = _read(f, at, size), _escaped(f, at)
-                both = [marks(data, escaped, w, 0) for w in (False, True)]
-                out.append((f, at, size, escaped, *[x for m in both for x in (bool(m.within[-1]), int(m.depth[-1]))]))
+                both = [(bool(m.within[-1]), int(m.depth[-1])) for m in (marks(data, escaped, w, 0) for w in (False, True))]
+                out.append((f, at, size, escaped, *both[0], *both[1]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64()))], names=list("pasewdxy"))
 
     rows = sorted(tuple(r) for r in told.mapInArrow(scanned, "p string, a long, s long, e boolean, w boolean, d long, x boolean, y long").collect())

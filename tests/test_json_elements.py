@@ -71,3 +71,18 @@ def test_sniffing(spark):
     two = spark.createDataFrame([('{"a": 1}',), ('{"b": "x", "a": 2.5}',), ("{",)], "doc string")
     n, broken, schema = sniffed_schema(two, "doc").first()
     assert (n, broken) == (3, 1) and schema.startswith("OBJECT<a: D") and "b: STRING" in schema
+
+
+def test_marks_take_few_bytes():
+    """Numbers of four bytes, one of a byte, for each byte of text, and no wide ones on the way."""
+    import tracemalloc
+
+    from millrace.sources.json_elements import marks
+
+    data = b'[{"a": "x]\\"y", "b": [1, 2]},' * 40_000
+    marks(data[:100], False, False, 0)
+    tracemalloc.start()
+    m = marks(data, False, False, 0)
+    assert tracemalloc.get_traced_memory()[1] < 24 * len(data)
+    tracemalloc.stop()
+    assert m.depth[-1] == 40_000 and m.depth.itemsize == 4
