@@ -97,3 +97,18 @@ def test_hamming_pairs_with_more_blocks(spark, blocks):
     got = {(x["a"], x["b"]) for x in hamming_pairs(spark.createDataFrame(rows, "k long, c long"), "k", "c", 2, blocks=blocks).collect()}
     assert got == {(i, j) for j in range(len(codes)) for i in range(j) if (codes[i] ^ codes[j]).bit_count() <= 2}
     assert [hamming_blocks(n) for n in (1000, 10**6, 10**9, 10**11)] == [3, 4, 5, 6]
+
+
+def test_items_that_are_reference_rows_travel_with_one_vector(spark, monkeypatch):
+    from millrace.operators import neighbours as N
+
+    sent = []
+    met = N._met
+    monkeypatch.setattr(N, "_met", lambda visits, *rest: sent.append(visits) or met(visits, *rest))
+    rows = [(k, [float(k * 7 % 31), float(k * k % 17)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    found = {r["id"]: r["d"] for r in N.nearest_distances(df, df, "id", "v", k=3, block=8).collect()}
+    assert all(v.filter("own IS NOT NULL OR NOT same").isEmpty() for v in sent)
+    for k, v in rows:
+        plain = sorted(((v[0] - w[0]) ** 2 + (v[1] - w[1]) ** 2) ** 0.5 for m, w in rows if m != k)[:3]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(found[k], plain, strict=True))
