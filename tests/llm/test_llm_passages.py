@@ -105,3 +105,29 @@ def test_multikey_quicksort_sorts(seed):
     assert len(set(group.tolist())) == len(set(strings))
     none = np.zeros(0, np.int64)
     assert len(windows.multikey_groups(buf, none, none)) == 0
+
+
+def test_large_inputs_have_fewer_and_larger_blobs(spark):
+    """Batches times buckets, which the number of blobs follows, at four times the bytes of 1.5 GB: under the square, which is 16."""
+    from millrace.llm import windows
+
+    docs = spark.createDataFrame([(k, "some words " * 40) for k in range(20)], "_id long, _text string").selectExpr("_id", "_text", "octet_length(_text) AS _bytes")
+    blobs = []
+    for size in (3 << 29, 3 << 31):
+        plan = windows.plan_for(docs, 20, size, False, 50, 16, True)
+        blobs.append(-(-size // plan.batch) * plan.buckets)
+    assert blobs[1] < 9 * blobs[0]
+
+
+def test_anchors_are_the_same_across_stretches(monkeypatch):
+    import random
+
+    from millrace.llm import windows
+
+    r = random.Random(5)
+    docs = [(k, 0, 0, bytes(r.choice(b"abc ") for _ in range(r.randint(0, 900)))) for k in range(30)]
+    cutter, found = windows.Cutter(windows.Plan(False, 50, 16)), []
+    for stretch in (1 << 15, 61):
+        monkeypatch.setattr(windows, "STRETCH", stretch, raising=True)
+        found.append([x.tolist() for x in cutter.anchors(docs)[4]])
+    assert found[0] == found[1]
