@@ -40,7 +40,7 @@ class WordIds:
 
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, share: float = 1.0) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
@@ -52,6 +52,7 @@ class WordIds:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.known, self.older, self.words, self.marks = {}, {}, {}, {"": b""}
+        self.most_known, self.most_words = int(REMEMBERED * share), int(WORDS * share)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -92,11 +93,11 @@ class WordIds:
         split = pc.split_pattern(pa.array([t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts], pa.string()), " ")
         coded = split.flatten().dictionary_encode()
         stretches = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.most_known:
             self.known, self.older = {}, self.known
-        if len(self.words) > WORDS:
+        if len(self.words) > self.most_words:
             self.words.clear()
-        if len(self.marks) > WORDS:
+        if len(self.marks) > self.most_words:
             self.marks = {"": b""}
         known, older = self.known, self.older
         new = []
@@ -119,9 +120,9 @@ class WordIds:
 
 
 @cache
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, share: float = 1.0) -> WordIds:
     """One for each worker, which keeps what it has learnt from task to task."""
-    return WordIds(path)
+    return WordIds(path, share)
 
 
 class Idle:
@@ -248,7 +249,7 @@ class Packer:
 
 def pack(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, prompt_end: str | None = None, end_id: int = 2,
-    tokens: int = 4096, segments: int | None = None, loss: int | None = None, with_ids: bool = True,
+    tokens: int = 4096, segments: int | None = None, loss: int | None = None, with_ids: bool = True, share: float = 1.0,
 ) -> DataFrame:
     """Pieces of all documents: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, ``with_ids``, ids (the piece's, as little-endian 32-bit numbers).
 
@@ -256,6 +257,7 @@ def pack(
     after the first ``prompt_end`` (a space, tab or line end) of the text, or all if there is none. No sequence has more than
     ``tokens`` tokens, ``segments`` pieces or ``loss`` loss-bearing tokens (at least 1 each; not given, they are
     ``tokens``, which never closes a sequence early). Other columns aren't read, whatever their names.
+    ``share`` is the part of ``REMEMBERED`` and ``WORDS`` that a worker remembers; it changes no result.
     A null text is an empty one, which is ``end_id`` alone. Repeated rows are packed as often as they come. Sequence ids are unique,
     and the same whenever the same partitions are read again. An empty table gives no piece.
     """
@@ -274,7 +276,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Idle.ends()
-        of, base = word_ids(tokenizer), TaskContext.get().partitionId() << 40
+        of, base = word_ids(tokenizer, share), TaskContext.get().partitionId() << 40
         packer, waiting, number = Packer(tokens, segments or tokens, loss or tokens), {}, 0
         end = np.array([end_id], "<u4").tobytes()
 

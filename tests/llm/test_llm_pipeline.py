@@ -63,3 +63,17 @@ def test_against_duckdb(spark, name):
 def test_queries_run(spark, name):
     df = QUERIES[name](spark, DATA)
     assert df.count() >= (50 if "url" in name else 200)
+
+
+def test_packing_remembers_a_share_of_the_words_and_gives_the_same_ids():
+    import public_tokenizers
+
+    from millrace.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"Word{i} and, word{i * 7}." for i in range(400)]
+    few, all_ = packing.WordIds(path, 1e-4), packing.WordIds(path)
+    assert (few.most_known, few.most_words) == (34, 69)
+    for at in range(0, 400, 40):
+        assert few(texts[at : at + 40]) == all_(texts[at : at + 40])
+    assert len(few.known) + len(few.older) < len(all_.known)
