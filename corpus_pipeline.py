@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality classifier, line dedup, near-dedup by word shingles, mixing sources to target weights, packing.
+"""The corpus pipeline: quality classifier, line dedup, SimHash near-dedup by word shingles, mixing sources to target weights, packing.
 
 Each stage reads what the one before it kept. All but the last return the columns of documents.
 """
@@ -60,7 +60,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @any_columns
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles one stays, by the smallest id.
+    """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, which SimHash proposes, one stays, by the smallest id.
 
     Rows without an id, and rows that share an id, are documents of their own; a repeated row stays once. Null, empty and
     wordless texts are copies of each other. Other columns pass unchanged, whatever their names. An empty table stays
